@@ -91,7 +91,9 @@ def with_features(docs: DataFrame, out: str = "quality", text_col: str = "text")
         "n_repeat_words": _repeat_words(F.transform(w, lambda x: F.xxhash64(x))),
         "n_bangs": F.octet_length(t) - F.octet_length(F.replace(t, F.lit("!"), F.lit(""))),
     }
-    return d.withColumn(out, F.struct(*[counts[k].cast("long").alias(k) for k in FEATURES])).drop(text, words)
+    features = F.struct(*[counts[k].cast("long").alias(k) for k in FEATURES])
+    # out of a generator, the features are computed once: filters and projections that use them can't be merged with it
+    return d.drop(out).withColumn(out, F.explode(F.array(features))).drop(text, words)
 
 
 def base_failed(f: Column) -> Column:
