@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from ..operators import dataset, evaluate, recovery, runs
+
+_MODULES = (evaluate, dataset, recovery, runs)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
