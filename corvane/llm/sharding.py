@@ -16,6 +16,7 @@ in no list.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ class Tiering:
     target: int = 64 << 20
     fanout: int = 4
     packing: int = 64  # targets' worth of shards that are packed together at once
+    waves: int = 4  # parts in which a round of merges is done
 
 
 class ShardStore:
@@ -173,7 +175,7 @@ class ShardStore:
         """(file, bytes, rows, run) of shards to merge: shards with the same run become one file of about the target size.
 
         A tier is packed in parts of a bounded number of shards, so no task sees all shards of the store. The rest of a part, at
-        most one run per part, is merged too.
+        most one run per part, is merged too. A run of one shard stays as it is.
         """
         t = self.tiering
         small = self.manifest(version).filter(F.col("bytes") < t.target / 2)
@@ -185,19 +187,32 @@ class ShardStore:
         runs = F.concat_ws("-", "tier", "part", F.floor(F.coalesce(before, F.lit(0)) / t.target))
         return small.select("file", "bytes", "rows", runs.alias("run"))
 
-    def compact(self, max_rounds: int = 20) -> int:
-        """Merge until no tier has `fanout` shards below half the target; returns the version. Rows stay as they are."""
+    def compact(self, keep: bool = True, max_rounds: int = 20) -> int:
+        """Merge until no tier has `fanout` shards below half the target; returns the version. Rows stay as they are.
+
+        A round goes in a few waves, each with a commit of its own. Without `keep` the shards that a wave replaced are deleted
+        after its commit, so a compaction needs room for a wave instead of the whole store; older versions can't be read then.
+        """
         for _ in range(max_rounds):
-            at = self.version()
-            plan = cut(self.plan(at))
-            runs = plan.select("run").distinct().count()
-            merged = plan.count()
-            if runs == merged:  # nothing, or only shards that stand alone
-                return at
-            self._merge(at, plan, runs)
+            plan = cut(self.plan())
+            runs = plan.groupBy("run").agg(F.count("*").alias("shards")).filter("shards > 1").select("run")
+            # one row per file of the target size
+            runs = cut(runs.select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("number")))
+            n = runs.count()
+            if not n:
+                return self.version()
+            waves = min(self.tiering.waves, n)
+            for wave in range(waves):
+                own = runs.filter(F.col("number") % waves == wave).select("run", F.floor(F.col("number") / waves).cast("int").alias("slot"))
+                files = plan.join(own, "run").select("file", "rows", "slot")
+                self._merge(files, len(range(wave, n, waves)))
+                if not keep:
+                    self._delete(files.select("file"))
         return self.version()
 
-    def _merge(self, at: int, plan: DataFrame, runs: int) -> int:
+    def _merge(self, plan: DataFrame, runs: int) -> int:
+        """Write one file for each slot of the plan (file, rows, slot) and commit it in place of the plan's files."""
+        at = self.version()
         info = self.commit_info(at)
         schema = T.StructType.fromJson(info["schema"])
         out = uuid.uuid4().hex
@@ -206,7 +221,8 @@ class ShardStore:
         dirs = [r.run for r in plan.select(F.regexp_extract("file", r"/data/([0-9a-f]{32})/", 1).alias("run")).distinct().collect()]
         rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/data/{x}" for x in sorted(dirs)])
         # the plan is a few bytes per shard; Spark broadcasts it below its limit and joins by shuffle beyond
-        rows = rows.select("*", F.col("_metadata.file_path").alias(file)).join(plan.select(F.col("file").alias(file), F.col("run").alias(key)), file).drop(file)
+        placed = plan.join(_placement(self.spark, runs), "slot").select(F.col("file").alias(file), F.col("place").alias(key))
+        rows = rows.select("*", F.col("_metadata.file_path").alias(file)).join(placed, file).drop(file)
         rows.repartition(runs, key).write.partitionBy(key).parquet(f"{self.path}/data/{out}")
         new = self._list(out, schema)
         lost = plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] - new.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
@@ -215,14 +231,35 @@ class ShardStore:
         rest = self.manifest(at).join(plan.select("file"), "file", "left_anti").select("file", "bytes", "rows")
         return self._publish(at, rest.unionByName(new), schema)
 
+    def _delete(self, files: DataFrame) -> None:
+        """Delete shards one by one; their names pass through the driver but aren't held there."""
+        path, fs, _ = self._fs()
+        uri = self.spark._jvm.java.net.URI
+        for r in files.toLocalIterator():
+            fs.delete(path(uri(r.file)), False)
+
     def vacuum(self) -> int:
-        """Delete runs of which the newest version lists no shard; returns how many. Older versions can't be read then."""
+        """Delete shards that the newest version doesn't list, and runs without any; returns how many shards went.
+
+        Older versions can't be read then.
+        """
         path, fs, _ = self._fs()
-        live = {r.run for r in self.manifest().select(F.regexp_extract("file", r"/data/([0-9a-f]{32})/", 1).alias("run")).distinct().collect()}
-        gone = [x.getPath() for x in fs.listStatus(path(f"{self.path}/data")) if x.getPath().getName() not in live]
-        for x in gone:
-            fs.delete(x, True)
-        return len(gone)
+        schema = T.StructType.fromJson(self.commit_info()["schema"])
+        listed = self.manifest().select("file")
+        there = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/data").select(F.col("_metadata.file_path").alias("file")).distinct()
+        gone = cut(there.join(listed, "file", "left_anti"))
+        self._delete(gone)
+        live = {r.run for r in listed.select(F.regexp_extract("file", r"/data/([0-9a-f]{32})/", 1).alias("run")).distinct().collect()}
+        for x in [x.getPath() for x in fs.listStatus(path(f"{self.path}/data"))]:
+            if x.getName() not in live:
+                fs.delete(x, True)
+        return gone.count()
+
+
+def _placement(spark: SparkSession, n: int) -> DataFrame:
+    """(slot, place) for n slots: numbers whose hash deals each slot to a partition of its own out of n."""
+    tried = spark.range(int(n * (20 + 2 * math.log(n + 1)))).select(F.col("id").cast("int").alias("id"))
+    return tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).cast("int").alias("slot")).agg(F.min("id").alias("place"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -238,7 +275,7 @@ def shard(docs: DataFrame, tiering: Tiering = Tiering(), path: str | None = None
     """
     store = ShardStore(docs.sparkSession, path or shared_path(docs.sparkSession, "shards"), tiering)
     store.append(docs)
-    version = store.compact()
+    version = store.compact(keep=False)
     store.vacuum()
     rows = store.read(version)
     return rows.withColumn(free_name(rows, "version"), F.lit(version).cast("long"))
