@@ -34,7 +34,8 @@ OTHER_PUNCTUATION = r"[\x{80}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{3000}-\x{303
 class Decontamination:
     """n: words of a seed. score: least share of the perfect score (match 2, mismatch and gap -1).
 
-    block_items: benchmark items whose seeds are sent at once; items of any length count whole.
+    block_items, block_bytes: benchmark items, and bytes of their texts, whose seeds are sent at once, on average of the
+    blocks; items of any length count whole.
     """
 
     n: int = 4
@@ -43,6 +44,7 @@ class Decontamination:
     mismatch: int = -1
     gap: int = -1
     block_items: int = 20_000
+    block_bytes: int = 16 << 20
     slack: float = 2.0
 
 
@@ -205,7 +207,8 @@ def _matches(words: np.ndarray, rows: np.ndarray, n_rows: int, items: Items, p:
 def _blocks(docs: DataFrame, benchmark: DataFrame, p: Decontamination, text_col: str) -> Iterator[Items]:
     """Benchmark items with their rare seeds, block by block. Null items and such without words have none."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    parts = -(-rows.count() // p.block_items)
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(-(-size.n // p.block_items), -(-size.bytes // p.block_bytes))
     for part in range(parts):
         block = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         every = items_block(block, p)

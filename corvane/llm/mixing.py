@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, let, table
+from .common import cut, free_name, let, table
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,11 @@ def rates(docs: DataFrame, p: Mixture = Mixture(), source_col: str = "source") -
         weight = F.lit(0.0)
         for name, w in p.weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    counts = counts.withColumn("w", weight)
-    total = counts.groupBy().agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))  # one row
-    size = F.lit(p.size) if p.size is not None else F.col("all_n")
-    rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * size / F.col("n")).otherwise(F.lit(0.0))
-    return counts.crossJoin(F.broadcast(total)).select("source", "n", rate.alias("rate"))
+    counts = cut(counts.withColumn("w", weight))  # a row per source
+    total = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    size = p.size if p.size is not None else total.n
+    rate = F.col("w") / F.lit(total.w) * F.lit(size) / F.col("n") if total.w else F.lit(0.0)
+    return counts.select("source", "n", rate.alias("rate"))
 
 
 def replicate(docs: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", source_col: str = "source", copy: str = "copy", n_copies: str = "n_copies") -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, free_name, let, table
+from .common import WORD_GAP, cut, free_name, let, table
 
 WINDOW = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs")
@@ -116,8 +116,8 @@ def _tail(n: Column, k: Column, risk: float) -> Column:
 def cutoffs(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(stratum, rule, cutoff, n_good, n_good_rejected, n_bad_rejected, tail) of the cutoffs that are proven to be safe.
 
-    A rule that no labelled bad document breaks at a safe cutoff has no row; of cutoffs that catch as many bad documents the
-    most lenient is taken. A label table that names a document twice counts it once, as bad if either says so. Labels
+    A safe cutoff that rejects no more bad documents than good ones isn't used, and a rule without another has no row; of cutoffs
+    that catch as many bad documents the most lenient is taken. A label table that names a document twice counts it once, as bad if either says so. Labels
     other than 0 and 1 and null ids are left out; a null stratum is a stratum of its own.
     """
     truth = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("good")).filter("good in (0, 1) and id is not null").groupBy("id").agg(F.min("good").alias("good"))
@@ -133,12 +133,12 @@ def cutoffs(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col:
         F.sum(F.when(F.col("step") > F.col("place"), F.col("good")).otherwise(0)).alias("n_good_rejected"),
         F.sum(F.when(F.col("step") > F.col("place"), F.col("bad")).otherwise(0)).alias("n_bad_rejected"),
     )
-    strata = tested.groupBy().agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("null"))).alias("strata"))
-    tested = tested.crossJoin(F.broadcast(strata))  # one row
+    tested = cut(tested)  # a row per stratum, rule and grid step
+    strata = tested.select("stratum").distinct().count()
     tested = tested.withColumn("tail", _tail(F.col("n_good"), F.col("n_good_rejected"), p.risk / len(RULES)))
-    passed = F.col("tail") <= F.lit(p.error / len(RULES)) / F.col("strata")
+    passed = F.col("tail") <= F.lit(p.error / len(RULES) / max(1, strata))
     lenient_first = Window.partitionBy("stratum", "rule").orderBy(F.col("place").desc())  # as many rows as the grid
-    safe = tested.withColumn("safe", F.min(passed.cast("int")).over(lenient_first.rowsBetween(Window.unboundedPreceding, 0))).filter("safe = 1 and n_bad_rejected > 0")
+    safe = tested.withColumn("safe", F.min(passed.cast("int")).over(lenient_first.rowsBetween(Window.unboundedPreceding, 0))).filter("safe = 1 and n_bad_rejected > n_good_rejected")
     best = safe.groupBy("stratum", "rule").agg(F.max_by(F.struct("place", "n_good", "n_good_rejected", "n_bad_rejected", "tail"), F.struct("n_bad_rejected", "place")).alias("x"))
     return best.select("stratum", "rule", F.element_at(F.array(*map(F.lit, GRID)), F.col("x.place") + 1).alias("cutoff"), "x.n_good", "x.n_good_rejected", "x.n_bad_rejected", "x.tail")
 

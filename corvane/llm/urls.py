@@ -89,10 +89,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, url_co
     known = rules_table(pages.sparkSession, rules).withColumnRenamed("digest", "rule_digest")
     # no hint: the rules are broadcast if they are below the session's limit
     hits = exprs.join(known, "short").filter("digest = rule_digest")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct("size", "verdict", "rule")).alias("r"))
-    verdicts = best.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("r.rule").alias("__r"), F.col("r.verdict").alias("__v"))
-    out = d.join(verdicts, (F.col(names["host"]) == F.col("__h")) & (F.col(names["path"]) == F.col("__p")), "left")
-    return out.withColumn(names["rule"], F.col("__r")).withColumn(names["verdict"], F.coalesce("__v", F.lit(default))).drop("__h", "__p", "__r", "__v")
+    found = free_name(d, "found_rule")
+    best = hits.groupBy(F.col("host").alias(names["host"]), F.col("path").alias(names["path"])).agg(F.max(F.struct("size", "verdict", "rule")).alias(found))
+    out = d.join(best, [names["host"], names["path"]], "left")
+    verdict = F.coalesce(F.col(found)["verdict"], F.lit(default))
+    return out.select(*pages.columns, names["host"], names["path"], F.col(found)["rule"].alias(names["rule"]), verdict.alias(names["verdict"]))
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
