@@ -19,6 +19,7 @@ import json
 import math
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,8 @@ class Tiering:
     target: int = 64 << 20
     fanout: int = 4
     packing: int = 64  # targets' worth of shards that are packed together at once
-    waves: int = 4  # parts in which a round of merges is done
+    waves: int = 4  # parts in which a round of merges is done, at least
+    wave_files: int = 10_000  # shards in a wave, about: their names pass through the driver
 
 
 class ShardStore:
@@ -195,13 +197,13 @@ class ShardStore:
         """
         for _ in range(max_rounds):
             plan = cut(self.plan())
-            runs = plan.groupBy("run").agg(F.count("*").alias("shards")).filter("shards > 1").select("run")
+            runs = plan.groupBy("run").agg(F.count("*").alias("shards")).filter("shards > 1")
             # one row per file of the target size
-            runs = cut(runs.select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("number")))
-            n = runs.count()
+            runs = cut(runs.select("run", "shards", (F.row_number().over(Window.orderBy("run")) - 1).alias("number")))
+            n, shards = runs.agg(F.count("*"), F.sum("shards")).first()
             if not n:
                 return self.version()
-            waves = min(self.tiering.waves, n)
+            waves = min(n, max(self.tiering.waves, -(-shards // self.tiering.wave_files)))
             for wave in range(waves):
                 own = runs.filter(F.col("number") % waves == wave).select("run", F.floor(F.col("number") / waves).cast("int").alias("slot"))
                 files = plan.join(own, "run").select("file", "rows", "slot")
@@ -218,10 +220,11 @@ class ShardStore:
         out = uuid.uuid4().hex
         key = free_name(self.spark.createDataFrame([], schema), "merge_run")
         file = free_name(self.spark.createDataFrame([], schema), "merge_file")
-        dirs = [r.run for r in plan.select(F.regexp_extract("file", r"/data/([0-9a-f]{32})/", 1).alias("run")).distinct().collect()]
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/data/{x}" for x in sorted(dirs)])
-        # the plan is a few bytes per shard; Spark broadcasts it below its limit and joins by shuffle beyond
+        names = [unquote(r.file) for r in plan.select("file").collect()]
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*names)
         placed = plan.join(_placement(self.spark, runs), "slot").select(F.col("file").alias(file), F.col("place").alias(key))
+        if len(names) <= 4 * self.tiering.wave_files:  # some hundred bytes each; a tier of very small shards may make larger waves
+            placed = F.broadcast(placed)
         rows = rows.select("*", F.col("_metadata.file_path").alias(file)).join(placed, file).drop(file)
         rows.repartition(runs, key).write.partitionBy(key).parquet(f"{self.path}/data/{out}")
         new = self._list(out, schema)
