@@ -66,12 +66,18 @@ class HtmlText:
 
 
 class Node:
-    """An element that holds others, from the outside in."""
+    """An element that holds others.
 
-    __slots__ = ("dropped", "kind", "parent", "tag")
+    number counts elements in page order and last is the greatest number inside, so holding is a comparison however deep a
+    page is nested. article is the outermost article around, or the element itself.
+    """
+
+    __slots__ = ("article", "dropped", "kind", "last", "number", "own_header", "parent", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, kind: str) -> None:
-        self.tag, self.parent, self.dropped, self.kind = tag, parent, dropped, kind
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, kind: str, number: int = 0) -> None:
+        self.tag, self.parent, self.dropped, self.kind, self.number, self.last = tag, parent, dropped, kind, number, number
+        self.article: Node | None = (parent and parent.article) or (self if tag == "article" else None)
+        self.own_header: bool = tag in ("article", "main") or (parent is not None and parent.own_header)
 
 
 def _dropped(tag: str, attr: str, inside: Node | None) -> tuple[bool, str]:
@@ -90,10 +96,7 @@ def _dropped(tag: str, attr: str, inside: Node | None) -> tuple[bool, str]:
     if bad and tag not in ("body", "html", "main"):
         return True, f".{bad}"
     if tag == "header":  # of the page; an article may have its own
-        x = inside
-        while x and x.tag not in ("article", "main"):
-            x = x.parent
-        return (x is None), "header"
+        return not (inside and inside.own_header), "header"
     return False, tag
 
 
@@ -109,10 +112,22 @@ class Part:
 def parse(page: str) -> list[Part]:
     """Text runs and tags in page order. Text runs of one block have the same block number."""
     root = Node("html", None, False, "html")
-    node, block, link, heading = root, 0, 0, False
+    node, block, link = root, 0, 0
+    nodes, opened = [root], Counter(["html"])
     out: list[Part] = []
     at = 0
 
+    def enter(tag: str, dropped: bool, kind: str) -> Node:
+        nodes.append(Node(tag, node, dropped, kind, len(nodes)))
+        opened[tag] += 1
+        return nodes[-1]
+
+    def leave() -> Node:
+        if node.parent is None:
+            return root
+        opened[node.tag] -= 1
+        return node.parent
+
     def text(raw: str) -> None:
         if raw:
             s = entities.unescape(raw) if "&" in raw else raw
@@ -138,40 +153,39 @@ def parse(page: str) -> list[Part]:
             elif not end and m["attr"] and tag not in VOID:
                 bad, _ = _dropped(tag, m["attr"], node)
                 if bad:  # hidden or marked inline parts are left out to their end
-                    node = Node(tag, node, True, "hidden")
+                    node = enter(tag, True, "hidden")
                 elif node.tag == tag and node.kind == "hidden":
-                    node = Node(tag, node, True, "hidden")
+                    node = enter(tag, True, "hidden")
             elif node.tag == tag and node.kind == "hidden":
-                node = (node.parent or root) if end else Node(tag, node, True, "hidden")
+                node = leave() if end else enter(tag, True, "hidden")
             continue
         block, link = block + 1, 0
         out.append(Part("", 0, node, block, f"/{tag}" if end else tag))
         while node.tag in INLINE:
-            node = node.parent or root
+            node = leave()
         if end:
-            x: Node | None = node
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None and x.parent is not None:
-                node = x.parent
+            if opened[tag] > (tag == root.tag):  # the root stays open
+                while node.tag != tag:
+                    node = leave()
+                node = leave()
         elif tag in HOLDERS or (tag not in VOID and m["attr"].strip(" /") and _dropped(tag, m["attr"], node)[0]):
             if tag not in HOLDERS:  # a block such as <p class="notice"> ends with the next tag of its kind
                 while node.tag == tag:
-                    node = node.parent or root
+                    node = leave()
             if not (tag in ("html", "body") and node.tag == tag) and not m["attr"].endswith("/"):
                 bad, kind = _dropped(tag, m["attr"], node)
-                node = Node(tag, node, bad or node.dropped, kind if bad else (node.kind if node.dropped or tag in ("div", "section") else kind))
+                node = enter(tag, bad or node.dropped, kind if bad else (node.kind if node.dropped or tag in ("div", "section") else kind))
         elif tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd"):
             while node.tag == tag and node.dropped:  # an unclosed dropped block of the same kind
-                node = node.parent or root
+                node = leave()
     text(page[at:])
+    for n in reversed(nodes[1:]):
+        n.parent.last = max(n.parent.last, n.last)
     return out
 
 
-def _holds(outer: Node, x: Node | None) -> bool:
-    while x is not None and x is not outer:
-        x = x.parent
-    return x is not None
+def _holds(outer: Node, x: Node) -> bool:
+    return outer.number <= x.number <= outer.last
 
 
 def best_run(parts: list[Part], w: Weights) -> tuple[int, int]:
@@ -200,8 +214,9 @@ def extract(page: str | None, w: Weights) -> str:
     run = [x for x in parts[first : last + 1] if x.words and not x.node.dropped]
     if not run:
         return ""
-    top: Node | None = run[0].node
-    while top is not None and not all(_holds(top, x.node) for x in run):
+    first_node, last_node = min((x.node for x in run), key=lambda n: n.number), max((x.node for x in run), key=lambda n: n.number)
+    top: Node | None = first_node
+    while top is not None and not _holds(top, last_node):
         top = top.parent
     while top is not None and top.parent is not None and top.tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tr", "blockquote", "figure", "header"):
         top = top.parent
@@ -218,23 +233,12 @@ def extract(page: str | None, w: Weights) -> str:
 
 def _labelled(parts: list[Part]) -> list[bool] | None:
     """For each part whether it lies in the page's one article; None if the page doesn't mark just one."""
-    articles = {id(x.node): x.node for x in parts if x.node.tag == "article" and x.words}
-    tops: dict[int, Node] = {}
-    for x in parts:
-        n: Node | None = x.node
-        while n is not None:
-            if n.tag == "article" and not n.dropped:
-                top = n
-                up = n.parent
-                while up is not None:
-                    top = up if up.tag == "article" else top
-                    up = up.parent
-                tops[id(top)] = top
-            n = n.parent
-    if len(tops) != 1 or not articles and not tops:
+    # what lies inside a dropped element is dropped too, so an article that counts has an outermost one that does
+    tops = {x.node.article for x in parts if x.node.article and not x.node.article.dropped}
+    if len(tops) != 1:
         return None
-    (article,) = tops.values()
-    return [_holds(article, x.node) and not x.node.dropped for x in parts]
+    (article,) = tops
+    return [x.node.article is article and not x.node.dropped for x in parts]
 
 
 def learn(pages: DataFrame, p: HtmlText = HtmlText(), id_col: str = "page_id", html_col: str = "html") -> Weights:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from corvane.llm.html_text import Weights, extract, learn, main_text, op9_main_text
+from corvane.llm.html_text import Weights, _labelled, extract, learn, main_text, op9_main_text, parse
 
 
 def article(page):
@@ -46,6 +46,11 @@ def test_layouts(name):
     assert extract(page, Weights()) == want
 
 
+def test_deep_and_unmatched_tags_cost_no_more_than_flat_ones():
+    page = "<div>" * 20_000 + "</x>" * 20_000 + "<article>" * 5_000 + "<header>" * 5_000 + TEXT
+    assert extract(page, Weights()) == TEXT and sum(_labelled(parse(page))) == 4_999 + 5_000 + 1
+
+
 def test_nulls_and_columns(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", f"<p>{TEXT}", "x"), (3, "u", "<article>" * 3000 + "deep words here", "y")], "page_id long, url string, html string, text string")
     weights = learn(df)
