@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, local alignment scores them.
 
-1. Every n-gram of the benchmark items is counted over the whole corpus (documents that have it).
-2. Per item the rarer half of its n-grams become seeds, and whatever is about as rare as they are. Rarity is relative to the
-   item, so an item that leaked into very many documents keeps its seeds.
-3. A document that has a seed is a candidate for the seed's item. Smith-Waterman over words aligns the item with the
-   passages around the seeds, so replaced, dropped and added words cost little; documents whose best score reaches
-   a share of the perfect score are contaminated.
+1. Every n-gram of a benchmark item is a seed, however many documents have it: an edited copy may keep just the grams that
+   others keep too, in one document as in a third of all.
+2. A document that has a seed is a candidate for the seed's item. Candidates with too few of the item's words to reach the
+   score are passed over; that bound is exact, so frequent grams cost a look-up and no result.
+3. Smith-Waterman over words aligns the item with the passages around the seeds, so replaced, dropped and added words cost
+   little; documents whose best score reaches a share of the perfect score are contaminated.
 
-Both passes are one scan of the texts without a shuffle. Seeds are sent to the workers in blocks of bounded size: a benchmark
-of any size is handled block by block.
+A copy that keeps no n words of the item in a row has no seed. One scan of the texts for a block of items, without a shuffle.
+Seeds are sent to the workers in blocks of bounded size: a benchmark of any size is handled block by block.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ from .common import ngram_hashes, slices, span_hashes, table, utf8, word_spans
 SEPARATORS = np.array([not (48 <= b < 58 or 97 <= b < 123 or b >= 128) for b in range(256)])
 OTHER_PUNCTUATION = r"[\x{80}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FE30}-\x{FE4F}\x{FF01}-\x{FF0F}\x{FEFF}]"
 
+#: Pairs of a seed and an item that are held at once, on average of the rows.
+PAIRS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Decontamination:
@@ -45,7 +48,6 @@ class Decontamination:
     gap: int = -1
     block_items: int = 20_000
     block_bytes: int = 16 << 20
-    slack: float = 2.0
 
 
 # ---------------------------------------------------------------- words
@@ -76,8 +78,8 @@ class Items:
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def items_block(rows: list[Row], p: Decontamination, keep: set[int] | None = None) -> Items:
-    """keep: gram hashes to use, by default all. Items without words have no grams; equal items each have their own."""
+def items_block(rows: list[Row], p: Decontamination) -> Items:
+    """Items without words have no grams; equal items each have their own."""
     ids = np.array([r.item_id for r in rows], np.int64)
     words: list[np.ndarray] = []
     for n, hashes, owner in _words(pa.array([r.text for r in rows], pa.string())):
@@ -88,7 +90,7 @@ def items_block(rows: list[Row], p: Decontamination, keep: set[int] | None = Non
         length = min(p.n, len(w))
         if length:
             grams, _ = ngram_hashes(w, np.zeros(len(w), np.int64), length)
-            found.setdefault(length, []).extend((int(g), k) for g in np.unique(grams) if keep is None or int(g) in keep)
+            found.setdefault(length, []).extend((int(g), k) for g in np.unique(grams))
     by_length = {}
     for length, pairs in found.items():
         if pairs:
@@ -115,42 +117,6 @@ def _hits(words: np.ndarray, rows: np.ndarray, items: Items) -> Iterator[tuple[n
 # ---------------------------------------------------------------- passes
 
 
-def gram_frequencies(docs: DataFrame, items: Items, text_col: str = "text") -> DataFrame:
-    """(gram, n): documents that have each gram of the block; counted in every task, summed over tasks."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        totals = {length: np.zeros(len(x[0]), np.int64) for length, x in block.by_length.items()}
-        for batch in batches:
-            for n, words, rows in _words(batch.column(0)):
-                for row, _, gram, length, _, _ in _hits(words, rows, block):
-                    each = np.unique(row * np.int64(len(totals[length])) + gram)
-                    totals[length] += np.bincount(each % len(totals[length]), minlength=len(totals[length]))
-        grams = [block.by_length[k][0][np.flatnonzero(v)] for k, v in totals.items()]
-        counts = [v[v > 0] for v in totals.values()]
-        all_grams = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(all_grams), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))], names=["gram", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def rare_seeds(items: Items, frequency: dict[int, int], p: Decontamination) -> set[int]:
-    """Per item the grams up to `slack` times the median frequency of its grams."""
-    own: dict[int, list[int]] = {}
-    for grams, first, owners in items.by_length.values():
-        for k, g in enumerate(grams):
-            for item in owners[first[k] : first[k + 1]]:
-                own.setdefault(int(item), []).append(int(g))
-    seeds: set[int] = set()
-    for grams_of in own.values():
-        counts = sorted(frequency.get(g, 0) for g in grams_of)
-        limit = p.slack * max(1, counts[(len(counts) - 1) // 2])
-        seeds.update(g for g in grams_of if frequency.get(g, 0) <= limit)
-    return seeds
-
-
 def align(item: np.ndarray, passage: np.ndarray, p: Decontamination) -> tuple[int, int]:
     """Best local alignment score of two word sequences, and the passage word at which it ends (exclusive)."""
     best, end = 0, 0
@@ -189,31 +155,54 @@ def _document(words: np.ndarray, offset: int, places: np.ndarray, item: np.ndarr
     return best, end
 
 
+def _pairs(words: np.ndarray, rows: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, item and word of every seed with every item that has it, sorted, for whole rows at a time."""
+    hits = [(row, at, first[gram], first[gram + 1] - first[gram], owners) for row, at, gram, _, first, owners in _hits(words, rows, items)]
+    if not hits:
+        return
+    per_row = np.zeros(int(rows[-1]) + 1, np.int64)
+    for row, _, _, n, _ in hits:
+        np.add.at(per_row, row, n)
+    part = np.cumsum(per_row) // PAIRS  # the last rows of two parts bound what is held at once
+    for k in np.unique(part[per_row > 0]):
+        out = []
+        for row, at, start, n, owners in hits:
+            chosen = np.flatnonzero(part[row] == k)
+            times = n[chosen]
+            inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            out.append((np.repeat(row[chosen], times), owners[np.repeat(start[chosen], times) + inner], np.repeat(at[chosen], times)))
+        r, i, w = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((w, i, r))
+        yield r[order], i[order], w[order]
+
+
 def _matches(words: np.ndarray, rows: np.ndarray, n_rows: int, items: Items, p: Decontamination) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, score, words of the item, end word) of the contaminated pairs."""
     cuts = np.searchsorted(rows, np.arange(n_rows + 1))
-    places: dict[tuple[int, int], list[int]] = {}
-    for row, at, gram, _, first, owners in _hits(words, rows, items):
-        for r, w, g in zip(row, at, gram, strict=True):
-            for k in owners[first[g] : first[g + 1]]:
-                places.setdefault((int(r), int(k)), []).append(int(w - cuts[r]))
-    for (r, k), found in sorted(places.items()):
-        item = items.words[k]
-        score, end = _document(words[cuts[r] : cuts[r + 1]], 0, np.array(found), item, p)
-        if score >= p.score * p.match * len(item):
-            yield r, k, score, len(item), end
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame, p: Decontamination, text_col: str) -> Iterator[Items]:
-    """Benchmark items with their rare seeds, block by block. Null items and such without words have none."""
+    for row, item, word in _pairs(words, rows, items):
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+        last = np.append(first[1:], len(row))
+        for r in np.unique(row):
+            a, b = np.searchsorted(row[first], [r, r + 1])
+            of = item[first[a:b]]
+            document = words[cuts[r] : cuts[r + 1]]
+            # words of each item that the document has at all: no alignment scores more
+            sizes = np.array([len(items.words[k]) for k in of])
+            present = np.add.reduceat(np.isin(np.concatenate([items.words[k] for k in of]), document).astype(np.int64), np.cumsum(sizes) - sizes)
+            for c in np.flatnonzero(p.match * present >= p.score * p.match * sizes):
+                k, size = int(of[c]), int(sizes[c])
+                score, end = _document(document, 0, word[first[a + c] : last[a + c]] - cuts[r], items.words[k], p)
+                if score >= p.score * p.match * size:
+                    yield int(r), k, score, size, end
+
+
+def _blocks(benchmark: DataFrame, p: Decontamination) -> Iterator[Items]:
+    """Benchmark items with their seeds, block by block. Null items and such without words have none."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = max(-(-size.n // p.block_items), -(-size.bytes // p.block_bytes))
     for part in range(parts):
-        block = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        every = items_block(block, p)
-        frequency = {r.gram & ((1 << 64) - 1): r.n for r in gram_frequencies(docs, every, text_col).collect()}
-        yield items_block(block, p, rare_seeds(every, frequency, p))
+        yield items_block(rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect(), p)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamin
     spark = docs.sparkSession
     schema = "id long, item_id long, score long, share double, end_word long"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(docs, benchmark, p, text_col):
+    for block in _blocks(benchmark, p):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -246,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamin
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination(), text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that contain no benchmark item."""
     at = docs.columns.index(text_col)
-    for block in _blocks(docs, benchmark, p, text_col):
+    for block in _blocks(benchmark, p):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

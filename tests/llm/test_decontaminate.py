@@ -73,3 +73,28 @@ def test_edited_copies_hot_items_and_edges(spark, block):
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {*dirty, 402, None}
     assert leaks(docs.limit(0), benchmark, p).collect() == [] and leaks(docs, benchmark.limit(0), p).collect() == []
+
+
+@pytest.mark.parametrize("times", [3, 50, 100])
+def test_one_edited_copy_in_many_documents(spark, times):
+    rng = random.Random(times)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(4)]
+    copies = [" ".join(f"edited{k}" if k % 6 == 5 else w for k, w in enumerate(t.split())) for _, t in items]
+    # item 3: an edited copy in one document, and another one that keeps other grams in many
+    other = " ".join(w if k % 6 == 5 or k < 20 else f"other{k}" if k % 6 == 1 else w for k, w in enumerate(items[3][1].split()))
+    rows = []
+    for i in range(300):
+        body = [rng.choice(vocabulary) for _ in range(100)]
+        if i < times:
+            body[30:30] = (other if i % 2 else copies[0]).split()
+        elif i == 299:
+            body[30:30] = copies[3].split()
+        rows.append((i, " ".join(body)))
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            if (s := smith_waterman(words(item), words(text))) >= 40:
+                want[d, i] = s
+    got = leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) == times + 1 and {(r.id, r.item_id): r.score for r in got.collect()} == want
