@@ -3,7 +3,8 @@
 A page is a sequence of tags and text runs. Each word counts the weight of its context (the nearest telling element
 around it), each tag its own, mostly negative, weight; weights are log odds of lying inside the article, counted on
 labelled pages (those that mark one article themselves). One linear scan finds the contiguous run of the greatest sum.
-The run is widened to the element that holds it whole, and what lies in menus, forms, notices and the like is left out.
+What lies in menus, forms, notices and the like counts nothing and is left out. The run is widened to the element that holds
+it whole, to the outermost article or else main around that, and from a section to the sections beside it.
 """
 
 from __future__ import annotations
@@ -69,14 +70,15 @@ class Node:
     """An element that holds others.
 
     number counts elements in page order and last is the greatest number inside, so holding is a comparison however deep a
-    page is nested. article is the outermost article around, or the element itself.
+    page is nested. article is the outermost article around, or the element itself; main is the outermost main likewise.
     """
 
-    __slots__ = ("article", "dropped", "kind", "last", "number", "own_header", "parent", "tag")
+    __slots__ = ("article", "dropped", "kind", "last", "main", "number", "own_header", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, kind: str, number: int = 0) -> None:
         self.tag, self.parent, self.dropped, self.kind, self.number, self.last = tag, parent, dropped, kind, number, number
         self.article: Node | None = (parent and parent.article) or (self if tag == "article" else None)
+        self.main: Node | None = (parent and parent.main) or (self if tag == "main" else None)
         self.own_header: bool = tag in ("article", "main") or (parent is not None and parent.own_header)
 
 
@@ -188,15 +190,31 @@ def _holds(outer: Node, x: Node) -> bool:
     return outer.number <= x.number <= outer.last
 
 
+def _sections(parts: list[Part], section: Node) -> set[int]:
+    """Numbers of the elements with parts in sections that have the same parent as this one."""
+    known = {section.parent.number if section.parent else -1: False}
+    for x in parts:
+        path, node = [], x.node
+        while node.number not in known:
+            path.append(node.number)
+            if node.parent is None or node.parent is section.parent:
+                known[node.number] = node.tag == "section" and node.parent is section.parent
+                break
+            node = node.parent
+        known.update(dict.fromkeys(path, known[node.number]))
+    return {k for k, v in known.items() if v}
+
+
 def best_run(parts: list[Part], w: Weights) -> tuple[int, int]:
     """First and last part of the run of the greatest sum; (0, -1) if no part scores positive. Ties: the first run."""
     best, run, start, out = 0.0, 0.0, 0, (0, -1)
     for i, x in enumerate(parts):
         if x.words:
-            s = x.words * w.words.get(x.key, w.link_word if x.key == "a" else -w.word if x.node.dropped else w.word)
-            s = -abs(s) if x.node.dropped else s
+            s = x.words * w.words.get(x.key, w.link_word if x.key == "a" else w.word)
         else:
             s = w.tags.get(x.key, w.tag) if x.key else 0.0
+        if x.node.dropped:  # what is left out parts nothing
+            s = 0.0
         if run <= 0:
             run, start = 0.0, i
         run += s
@@ -220,9 +238,12 @@ def extract(page: str | None, w: Weights) -> str:
         top = top.parent
     while top is not None and top.parent is not None and top.tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tr", "blockquote", "figure", "header"):
         top = top.parent
+    if top is not None:
+        top = top.article or top.main or top
+    beside = _sections(parts, top) if top is not None and top.tag == "section" else frozenset()
     lines: dict[int, list[str]] = {}
     for x in parts:
-        if x.text and not x.node.dropped and (top is None or _holds(top, x.node)):
+        if x.text and not x.node.dropped and (top is None or _holds(top, x.node) or x.node.number in beside):
             lines.setdefault(x.block, []).append(x.text)
     blocks = (" ".join("".join(x).split()) for x in lines.values())
     return "\n\n".join(x for x in blocks if x)

@@ -57,3 +57,23 @@ def test_nulls_and_columns(spark):
     got = {r.id: (r.url, r.text, r.n_chars) for r in main_text(df, weights).collect()}
     assert got == {1: (None, "", 0), None: ("u", TEXT, len(TEXT)), 3: ("u", "deep words here", 15)}
     assert main_text(df.limit(0), Weights()).collect() == [] and learn(df.limit(0)) == Weights()
+
+
+LINKS = "<ul><li><a href=x>First work cited</a><li><a href=y>Second work cited</a></ul>"
+CITED = "First work cited\n\nSecond work cited"
+MANY = "<p>" + "buy this now " * 60 + "</p>"
+PARTED = {
+    "long ad between sections": (f"<article><section><p>{TEXT}</p></section><div class=ad>{MANY}</div><section><p>Tail.</p></section></article>", f"{TEXT}\n\nTail."),
+    "references": (f"<article><section><p>{TEXT}</p></section><section><h2>References</h2>{LINKS}</section></article>", f"{TEXT}\n\nReferences\n\n{CITED}"),
+    "references in main": (f"<nav><a>Home</a></nav><main><div><p>{TEXT}</p></div><aside>{MANY}</aside><div>{LINKS}</div></main><footer>Foot</footer>", f"{TEXT}\n\n{CITED}"),
+    "title before contents": (f"<article><header><h1>T</h1></header><nav>{LINKS * 9}</nav><div><p>{TEXT}</p></div></article>", f"T\n\n{TEXT}"),
+    "sections alone": (f"<body><div><a>Home</a> <a>News</a></div><section><p>{TEXT}</p></section><form>{MANY}</form><section><div>{LINKS}</div></section><div><a>Imprint</a></div></body>", f"{TEXT}\n\n{CITED}"),
+    "parts without article": (f"<body><div id=content><div><p>{TEXT}</p></div><div class=ad>{MANY}</div><div><p>{TEXT}</p></div></div></body>", f"{TEXT}\n\n{TEXT}"),
+}
+
+
+@pytest.mark.parametrize("name", PARTED)
+@pytest.mark.parametrize("weights", [Weights(), Weights({"a": -4.0, ".ad": -4.0, "nav": -4.0, "aside": -4.0, "form": -4.0})])
+def test_articles_in_parts(name, weights):
+    page, want = PARTED[name]
+    assert extract(page, weights) == want
