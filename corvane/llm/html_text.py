@@ -35,7 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HOLDERS = frozenset("html body main article section div nav header footer aside form ul ol dl menu table tbody thead tfoot tr figure details dialog fieldset center blockquote select button head search".split())
 DROPPED = frozenset("nav footer aside form dialog menu select button head search datalist optgroup option title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id names that mark what is no article text.
+#: Words that mark what is no article text, where a class or id name has no other words than these and those of PLACES.
 NOTICE = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners
     cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox paywall newsletter subscribe subscription signup login
@@ -43,6 +43,14 @@ NOTICE = frozenset(
     comment comments commentlist disqus respond reply replies discussion
     related recommended recommendations share sharing social widget widgets skip hidden""".split()
 )
+#: Words that say of a marked element where it is or what it looks like.
+PLACES = frozenset(
+    """site page main primary secondary global top bottom left right upper lower inner outer mobile desktop sticky fixed floating visually is js wp
+    box bar block area wrap wrapper container holder panel list item items link links button buttons text message unit slot section region row column""".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A marked element with this share of the words outside of links, or more, is the text itself.
+WHOLE = 0.9
 NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -70,32 +78,44 @@ class Node:
     """An element that holds others.
 
     number counts elements in page order and last is the greatest number inside, so holding is a comparison however deep a
-    page is nested. article is the outermost article around, or the element itself; main is the outermost main likewise.
+    page is nested. marked: dropped for its names, which _spare() may take back; firm: dropped, or inside what is, for another reason. article is the outermost article around, or the element itself; main is the outermost main likewise.
     """
 
-    __slots__ = ("article", "dropped", "kind", "last", "main", "number", "own_header", "parent", "tag")
+    __slots__ = ("article", "dropped", "firm", "kind", "last", "main", "marked", "number", "own_header", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, kind: str, number: int = 0) -> None:
         self.tag, self.parent, self.dropped, self.kind, self.number, self.last = tag, parent, dropped, kind, number, number
         self.article: Node | None = (parent and parent.article) or (self if tag == "article" else None)
         self.main: Node | None = (parent and parent.main) or (self if tag == "main" else None)
+        self.marked = False
+        self.firm: bool = parent is not None and parent.firm
         self.own_header: bool = tag in ("article", "main") or (parent is not None and parent.own_header)
 
 
+def _notice(names: str) -> str:
+    """The first word of NOTICE in a name that has none but such and those of PLACES."""
+    for name in names.split():
+        words = [x.lower() for x in NAME.findall(name)]
+        marked = [x for x in words if x in NOTICE]
+        if marked and all(x in NOTICE or x in PLACES for x in words):
+            return marked[0]
+    return ""
+
+
 def _dropped(tag: str, attr: str, inside: Node | None) -> tuple[bool, str]:
     """Whether an element is no article text, and its context for word weights."""
     if tag in DROPPED:
         return True, tag
-    names: list[str] = []
+    bad = ""
     if attr.strip(" /"):
         for m in ATTR.finditer(attr):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id"):
-                names += [x.lower() for x in NAME.findall(value)]
+            if key == "class" or (key == "id" and tag not in INLINE):
+                bad = bad or _notice(value)
             elif (key == "role" and value.strip().lower() in ROLES) or key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 return True, "hidden"
-    bad = next((x for x in names if x in NOTICE), None)
-    if bad and tag not in ("body", "html", "main"):
+    # an article in another one is a comment or the like and goes by its names
+    if bad and tag not in ("body", "html", "main") and tag not in HEADINGS and not (tag == "article" and not (inside and inside.article)):
         return True, f".{bad}"
     if tag == "header":  # of the page; an article may have its own
         return not (inside and inside.own_header), "header"
@@ -119,10 +139,13 @@ def parse(page: str) -> list[Part]:
     out: list[Part] = []
     at = 0
 
-    def enter(tag: str, dropped: bool, kind: str) -> Node:
-        nodes.append(Node(tag, node, dropped, kind, len(nodes)))
+    def enter(tag: str, dropped: bool, kind: str, verdict: str = "") -> Node:
+        new = Node(tag, node, dropped, kind, len(nodes))
+        new.marked = verdict.startswith(".")
+        new.firm |= bool(verdict) and not new.marked
+        nodes.append(new)
         opened[tag] += 1
-        return nodes[-1]
+        return new
 
     def leave() -> Node:
         if node.parent is None:
@@ -153,9 +176,9 @@ def parse(page: str) -> list[Part]:
                 link = 0 if end else 1
                 out.append(Part("", 0, node, block, "/a" if end else "a"))
             elif not end and m["attr"] and tag not in VOID:
-                bad, _ = _dropped(tag, m["attr"], node)
+                bad, why = _dropped(tag, m["attr"], node)
                 if bad:  # hidden or marked inline parts are left out to their end
-                    node = enter(tag, True, "hidden")
+                    node = enter(tag, True, "hidden", why)
                 elif node.tag == tag and node.kind == "hidden":
                     node = enter(tag, True, "hidden")
             elif node.tag == tag and node.kind == "hidden":
@@ -176,16 +199,39 @@ def parse(page: str) -> list[Part]:
                     node = leave()
             if not (tag in ("html", "body") and node.tag == tag) and not m["attr"].endswith("/"):
                 bad, kind = _dropped(tag, m["attr"], node)
-                node = enter(tag, bad or node.dropped, kind if bad else (node.kind if node.dropped or tag in ("div", "section") else kind))
+                node = enter(tag, bad or node.dropped, kind if bad else (node.kind if node.dropped or tag in ("div", "section") else kind), kind if bad else "")
         elif tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd"):
             while node.tag == tag and node.dropped:  # an unclosed dropped block of the same kind
                 node = leave()
     text(page[at:])
     for n in reversed(nodes[1:]):
         n.parent.last = max(n.parent.last, n.last)
+    if any(n.marked for n in nodes):
+        _spare(nodes, out)
     return out
 
 
+def _spare(nodes: list[Node], parts: list[Part]) -> None:
+    """Marked elements that hold nearly all of the words are kept after all."""
+    words = [0] * len(nodes)
+    for x in parts:
+        if x.words and x.key != "a" and not x.node.firm:
+            words[x.node.number] += x.words
+    for n in reversed(nodes[1:]):
+        words[n.parent.number] += words[n.number]
+    if not any(n.marked and words[n.number] and words[n.number] >= WHOLE * words[0] for n in nodes):
+        return
+    for n in nodes[1:]:
+        if n.marked and words[n.number] >= WHOLE * words[0]:
+            n.marked = False
+        n.dropped = n.firm or n.marked or n.parent.dropped
+        if not n.firm and not n.marked:
+            n.kind = n.parent.kind if n.parent.dropped or n.tag in INLINE or n.tag in ("div", "section") else n.tag
+    for x in parts:
+        if x.words and x.key != "a":
+            x.key = x.node.kind
+
+
 def _holds(outer: Node, x: Node) -> bool:
     return outer.number <= x.number <= outer.last
 

@@ -77,3 +77,22 @@ PARTED = {
 def test_articles_in_parts(name, weights):
     page, want = PARTED[name]
     assert extract(page, weights) == want
+
+
+KEPT = {
+    "article names": (f"<article class='post no-sidebar'><p>{TEXT}</p></article>", TEXT),
+    "article marked": (f"<article class='related' id=widget><p>{TEXT}</p></article>", TEXT),
+    "content names": (f"<div id=content class='with-comments'><p>{TEXT}</p></div><div id=comments-area><p>A reader says this.</p></div>", TEXT),
+    "heading": (f"<article><p>{TEXT}</p><h2 id='discussion'>Discussion</h2><p>Tail.</p></article>", f"{TEXT}\n\nDiscussion\n\nTail."),
+    "anchor": (f"<article><h2><span id='Related_work'>Related work</span></h2><p>{TEXT} <span id=comments>Of comments.</span></p></article>", f"Related work\n\n{TEXT} Of comments."),
+    "entry": (f"<article><div class='entry social-science'><p>{TEXT}</p></div><p>Tail.</p></article>", f"{TEXT}\n\nTail."),
+    "whole page": (f"<body><div class=widget><div class=message><h1>T</h1><p>{TEXT}</p></div><div class=ads><p>Buy</p></div></div></body>", f"T\n\n{TEXT}"),
+    "whole page hidden": (f"<body><div hidden><div class=widget><p>{TEXT}</p></div></div></body>", ""),
+    "left out": (f"<article><p>{TEXT}</p><div class='main-sidebar'>a b</div><div class='siteFooter'>c d</div><div id=related_links>e f</div><p class='ad-box'>g h</p><section class=comments><article class=comment>i j</article></section><span class=ad>k</span></article>", TEXT),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_names_of_elements(name):
+    page, want = KEPT[name]
+    assert extract(page, Weights()) == want
