@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, let, table
+from .sharding import shared_path
 
 
 @dataclass(frozen=True)
@@ -124,9 +125,10 @@ def mix(docs: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", source_
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of the mixture in its order, without the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return shuffled(replicate(docs)).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
+    """Every copy of the mixture in its order. The mixture itself, whole documents in that order, is stored and listed from there."""
+    path = shared_path(spark, "mixture")
+    shuffled(replicate(table(spark, sf_dir, "documents"))).write.parquet(path)
+    return spark.read.parquet(path).select("doc_id", "source", "copy", "n_copies", "shuffle_key").orderBy("shuffle_key")
 
 
 _SQL = """

@@ -65,3 +65,14 @@ def test_empty_and_zero(spark):
     df = spark.createDataFrame([], "doc_id long, source string")
     assert mix(df).collect() == []
     assert mix(spark.createDataFrame([(1, "a")], df.schema), Mixture(weights={"x": 1.0})).collect() == []
+
+
+def test_whole_documents_are_mixed(spark, sf_dir):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = op2_mix(spark, sf_dir)
+    keys = []
+    for file in sorted(got.inputFiles()):  # parts are named in the order of the rows
+        stored = spark.read.parquet(file).collect()
+        assert all(all(r[c] == docs[r.doc_id][c] for c in docs[r.doc_id].asDict()) for r in stored)
+        keys += [r.shuffle_key for r in stored]
+    assert keys and keys == [r.shuffle_key for r in got.collect()]
