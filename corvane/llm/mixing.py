@@ -9,9 +9,10 @@ Copies are then dealt out by a second hash and sorted by it, which is a global s
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,25 +92,24 @@ def replicate(docs: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", s
         d = docs
         extra: list[str] = []
     else:
-        name, rate = free_name(docs, "mix_source"), free_name(docs, "mix_rate")
-        d = docs.join(chosen.select(F.col("source").alias(name), F.col("rate").alias(rate)), source.eqNullSafe(F.col(name)))
-        extra = [name, rate]
-        cdf = _cdf_column(F.col(rate))
+        name, table_of = free_name(docs, "mix_source"), free_name(docs, "mix_cdf")
+        d = docs.join(_with_cdf(chosen).select(F.col("source").alias(name), F.col("cdf").alias(table_of)), source.eqNullSafe(F.col(name)))
+        extra = [name, table_of]
+        cdf = F.col(table_of)
     count, at = free_name(d, n_copies), free_name(d, copy)
     d = d.withColumn(count, let(u, lambda x: F.size(F.filter(cdf, lambda c: c < x)))).filter(F.col(count) > 0)
     return d.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(*extra)
 
 
-def _cdf_column(rate: Column) -> Column:
-    """poisson_cdf() as a column, for more sources than a plan should hold."""
-    last = F.ceil(rate + 40 * F.sqrt(rate) + 60).cast("int")
-    start = F.struct(F.exp(-rate).alias("t"), F.array(F.exp(-rate)).alias("c"))
+def _with_cdf(chosen: DataFrame) -> DataFrame:
+    """(source, cdf): poisson_cdf() of every source, for more sources than a plan should hold."""
 
-    def step(acc: Column, k: Column) -> Column:
-        t = acc["t"] * rate / k
-        return F.struct(t.alias("t"), F.concat(acc["c"], F.array(F.least(F.lit(1.0), F.element_at(acc["c"], -1) + t))).alias("c"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, rate in enumerate(batch.column(1).to_pylist()):  # a source each: its list may be long
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([poisson_cdf(rate)], pa.list_(pa.float64()))], names=["source", "cdf"])
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["c"])
+    return chosen.select("source", "rate").mapInArrow(run, "source string, cdf array<double>")
 
 
 def shuffled(copies: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", copy: str = "copy", key: str = "shuffle_key") -> DataFrame:

@@ -76,3 +76,16 @@ def test_whole_documents_are_mixed(spark, sf_dir):
         assert all(all(r[c] == docs[r.doc_id][c] for c in docs[r.doc_id].asDict()) for r in stored)
         keys += [r.shuffle_key for r in stored]
     assert keys and keys == [r.shuffle_key for r in got.collect()]
+
+
+@pytest.mark.parametrize("most", [2000, 0])
+def test_large_rates(spark, most):
+    weights = {"a": 700.0, "b": 800.0, None: 5000.0, "d": 0.5}
+    names = list(weights)
+    df = spark.createDataFrame([(i, names[i % 4]) for i in range(24)], "doc_id long, source string")
+    p = Mixture(weights=weights, size=int(6 * sum(weights.values())), max_sources=most)
+    got = {r.doc_id: r.n_copies for r in replicate(df, p).select("doc_id", "n_copies").distinct().collect()}
+    rate = {r.source: r.rate for r in rates(df, p).collect()}
+    want = {i: copies(i, poisson_cdf(rate[names[i % 4]])) for i in range(24)}
+    assert got == {i: n for i, n in want.items() if n}
+    assert all(abs(n - rate[names[i % 4]]) < 6 * rate[names[i % 4]] ** 0.5 + 6 for i, n in want.items())
