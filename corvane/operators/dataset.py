@@ -211,12 +211,11 @@ def count_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
-    """Queries are made from the first words of documents and, by doc_id, a suffix that leaks or doesn't."""
+    """Queries are whole texts of documents and, by doc_id, a suffix that leaks or doesn't. The SQL looks at six words and the suffix."""
     suffix = ["", " in utils.py", " see Main.java", " https://github.com/a/b", " on gitlab.com", " #L42", " src/core", " def run(x)", " import os", " class A:", " from src0"]
     docs = _t(spark, d, "documents")
     chosen = F.element_at(F.array(*map(F.lit, suffix)), (F.col("doc_id") % len(suffix)).cast("int") + 1)
-    query = F.concat(F.array_join(F.slice(F.split("text", " "), 1, 6), " "), chosen)
-    v = leak_columns(docs.select("doc_id", "source", query.alias("query")))
+    v = leak_columns(docs.select("doc_id", "source", F.concat("text", chosen).alias("query")))
     return v.select("doc_id", F.array_join("violations", ",").alias("violations"), (F.size("violations") == 0).alias("passed"))
 
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators.dataset import leakage_check
 
 
 def test_parity(spark):
@@ -31,3 +33,29 @@ def test_small_ones(spark):
     one = spark.range(1)
     row = one.select(X.unit_id(F.lit("r"), F.lit("a\\b/c.py"), F.lit("C.f"), F.lit("0123456789abcdef")).alias("id"), X.source_url(F.lit(""), F.lit("p"), F.lit(1)).alias("none"), X.source_url(F.lit("u//"), F.lit("p"), F.lit(1)).alias("url"), X.size_gb(F.lit(4_700_000_000)).alias("gb"), X.ns_to_ms(F.lit(1_550_000)).alias("ms"), X.percent_change(F.lit(0.0), F.lit(1.0)).alias("p"), X.symbol_path(F.lit(None).cast("string"), F.lit("f")).alias("s")).first()
     assert row.id == "r_py_a_b_c_py__C_f_0123456789ab" and row.none == "" and row.url == "u/blob/main/p#L1" and row.gb == 4.38 and row.ms in (1.5, 1.6) and row.p is None and row.s == "f"
+
+
+def test_leaks_anywhere_in_a_document(spark, tmp_path):
+    patterns = {
+        "python file": r"\w+\.py\b",
+        "java file": r"\w+\.java\b",
+        "script file": r"\w+\.(?:js|ts)\b",
+        "code host": r"https?://(?:www\.)?(?:github|gitlab|bitbucket)\.",
+        "host name": r"\b(?:github|gitlab|bitbucket)\.(?:com|org)\b",
+        "line anchor": r"#L\d+",
+        "module path": r"\b(?:src|lib|tests?)/\w+",
+        "definition": r"\bdef\s+\w+\s*\(",
+        "class statement": r"\bclass\s+\w+\s*[:(]",
+        "import statement": r"\b(?:from\s+\w+\s+)?import\s+\w+",
+    }
+    suffix = ["", " in utils.py", " see Main.java", " https://github.com/a/b", " on gitlab.com", " #L42", " src/core", " def run(x)", " import os", " class A:", " from src0"]
+    leaks = ["no leak", "see a.py", "Main.java", "b.ts", "https://github.com/x", "on gitlab.org", "#L7", "lib/x", "def f (x)", "class \u00c9t\u00e9:", "import os", "src0", "core"]
+    rows = [(11 * i + k, "src0", f"{'one two three ' * 5}{leak}{' and more' * 30}") for i, leak in enumerate(leaks) for k in (0, i % 11)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, source, text in rows:
+        query = text + suffix[i % 11]
+        found = [k for k, p in patterns.items() if re.search(p, query, re.I)]
+        found += [k for k, name in (("repository", source), ("symbol", "core")) if name in query]
+        want.append((i, ",".join(found), not found))
+    assert sorted(map(tuple, leakage_check(spark, str(tmp_path)).collect())) == sorted(want)
