@@ -3,7 +3,8 @@
 Layout below the store's path:
 
     data/<run>/...parquet        shards; never changed once written
-    manifests/<run>/...parquet   lists of shards: (file, bytes, rows)
+    pending/<run>                a marker for as long as a writer works on a run
+    manifests/<run>/...parquet   lists of shards: (file below data/, bytes, rows)
     commits/<version>            a small JSON file that names one manifest
 
 An arrival is written as it comes, one small shard per task and no shuffle. Compaction sorts shards below the target into
@@ -11,18 +12,27 @@ tiers of similar size (each tier spans a factor of `fanout`); a tier of at least
 target size, each of which one task writes as one file. A version exists from the moment its commit file is renamed into
 place, which fails if another writer was first: readers see the old list or the new one, and files of jobs that died are
 in no list.
+
+Writers don't wait for one another. An arrival is committed on top of whatever is newest. A merge is committed only on a version that
+still lists each file that it replaces; if another compaction took one of them, what the merge wrote is dropped and the rest
+is planned again, so no row is lost or doubled. `vacuum` spares runs with a marker and versions that were current lately.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
-from urllib.parse import unquote
+from itertools import islice
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -30,12 +40,22 @@ from pyspark.sql.window import Window
 from .common import cut, ensure_checkpoint_dir, free_name, table
 
 MANIFEST = "file string, bytes long, rows long"
+#: Rows of a table that are numbered in one task.
+NUMBERED = 1000
 
 
 class CommitConflict(RuntimeError):
     """Another writer published the version first."""
 
 
+class StalePlan(RuntimeError):
+    """Shards of a plan are no longer listed; another compaction replaced them."""
+
+
+def _below_data(path: Column) -> Column:
+    return F.regexp_extract(path, r"/data/([0-9a-f]{32}/.*)$", 1)
+
+
 @dataclass(frozen=True)
 class Tiering:
     """target: bytes of a full file. fanout: shards that make a tier worth merging, and the span of sizes in a tier."""
@@ -115,63 +135,89 @@ class ShardStore:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/{info['manifest']}")
 
     def _files(self, run: str, schema: T.StructType) -> DataFrame:
-        """Rows of one run with their file; partition folders are no columns."""
+        """Rows of one run; partition folders are no columns."""
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/data/{run}")
 
     def _list(self, run: str, schema: T.StructType) -> DataFrame:
         """(file, bytes, rows) of the shards that a run wrote, from the files' own footers. Empty files are no shards."""
-        rows = self._files(run, schema).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self._files(run, schema).select(_below_data(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_size").alias("bytes"))
         return rows.groupBy("file", "bytes").agg(F.count("*").alias("rows")).select("file", "bytes", "rows")
 
     def read(self, version: int | None = None, file_col: str = "shard") -> DataFrame:
         """All rows of a version and the name of each one's shard."""
+        version = self.version() if version is None else version
         info = self.commit_info(version)
         if info["schema"] is None:
             raise ValueError("the store is empty")
         schema = T.StructType.fromJson(info["schema"])
         name = free_name(self.spark.createDataFrame([], schema), file_col)
         listed = self.manifest(version)
-        runs = [r.run for r in listed.select(F.regexp_extract("file", r"/data/([0-9a-f]{32})/", 1).alias("run")).distinct().collect()]
+        runs = [r.run for r in listed.select(F.substr("file", F.lit(1), F.lit(32)).alias("run")).distinct().collect()]
         if not runs:
             return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("string"))
-        paths = [f"{self.path}/data/{x}" for x in sorted(runs)]
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths).select("*", F.col("_metadata.file_path").alias(name))
-        if self._partly_live(runs, listed):
+        rows = self._below(sorted(runs), schema)
+        there = len(rows._jdf.inputFiles())  # counted in the JVM, where the reader lists the files anyway
+        rows = rows.select("*", _below_data(F.col("_metadata.file_path")).alias(name))
+        if there != info["files"]:  # a run of this version also holds shards that later compactions replaced
             rows = rows.join(listed.select(F.col("file").alias(name)), name, "left_semi")
-        return rows.select(*schema.names, F.regexp_extract(name, r"/data/(.*)$", 1).alias(name))
+        return rows.select(*schema.names, name)
 
-    def _partly_live(self, runs: list[str], listed: DataFrame) -> bool:
-        """Whether a run of this version also holds shards that later compactions replaced."""
-        path, fs, _ = self._fs()
-        there = 0
-        for run in runs:
-            found = fs.listFiles(path(f"{self.path}/data/{run}"), True)
-            while found.hasNext():
-                there += found.next().getPath().getName().endswith(".parquet")
-        return there != listed.count()
+    def _below(self, names: list[str], schema: T.StructType) -> DataFrame:
+        """Rows of runs or files below data/."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/data/{x}" for x in names])
 
     # ------------------------------------------------------------ writing
 
-    def append(self, df: DataFrame) -> int:
+    @contextmanager
+    def _run(self) -> Iterator[str]:
+        """The name of a new run, marked as pending until it is committed or given up."""
+        path, fs, _ = self._fs()
+        run = uuid.uuid4().hex
+        marker = path(f"{self.path}/pending/{run}")
+        fs.create(marker, False).close()
+        try:
+            yield run
+        finally:
+            fs.delete(marker, False)
+
+    def _alive(self, run: str) -> None:
+        path, fs, _ = self._fs()
+        if not fs.exists(path(f"{self.path}/pending/{run}")):
+            raise RuntimeError("this writer took so long that a vacuum gave it up; nothing was committed")
+
+    def append(self, df: DataFrame, arrivals: int = 1) -> int:
         """Write an arrival as small shards, one per task, and commit it; returns the version.
 
-        An empty arrival makes a version with no new shard. Appends commute: on a conflict the commit is tried
-        again on top of the newer version. The schema must be that of the store.
+        With `arrivals` the rows of each task are dealt out in turn and come in as so many arrivals, each a version of its own;
+        they are still written in one pass. An empty arrival makes a version with no new shard. Appends commute: on a conflict the commit is tried again on top of the newer version. The schema
+        must be that of the store.
         """
-        run, schema = uuid.uuid4().hex, T.StructType.fromJson(df.schema.jsonValue())
+        schema = T.StructType.fromJson(df.schema.jsonValue())
         for f in schema.fields:
             f.nullable = True
         info = self.commit_info()
         if info["schema"] is not None and [(f["name"], f["type"]) for f in info["schema"]["fields"]] != [(f["name"], f["type"]) for f in schema.jsonValue()["fields"]]:
             raise ValueError("the arrival's schema differs from the store's")
-        df.write.parquet(f"{self.path}/data/{run}")
-        new = self._list(run, schema)
-        while True:
-            at = self.version()
-            try:
-                return self._publish(at, self.manifest(at).unionByName(new), schema)
-            except CommitConflict:
-                continue
+        version = 0
+        with self._run() as run:
+            if arrivals > 1:
+                part = free_name(df, "arrival")
+                df.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals))).write.partitionBy(part).parquet(f"{self.path}/data/{run}")
+                new = cut(self._list(run, schema))  # a row per shard
+                parts = [new.filter(F.col("file").contains(f"/{part}={k}/")) for k in range(arrivals)]
+            else:
+                df.write.parquet(f"{self.path}/data/{run}")
+                parts = [self._list(run, schema)]
+            for own in parts:
+                while True:
+                    self._alive(run)
+                    at = self.version()
+                    try:
+                        version = self._publish(at, self.manifest(at).unionByName(own), schema)
+                        break
+                    except CommitConflict:
+                        continue
+        return version
 
     def plan(self, version: int | None = None) -> DataFrame:
         """(file, bytes, rows, run) of shards to merge: shards with the same run become one file of about the target size.
@@ -189,17 +235,17 @@ class ShardStore:
         runs = F.concat_ws("-", "tier", "part", F.floor(F.coalesce(before, F.lit(0)) / t.target))
         return small.select("file", "bytes", "rows", runs.alias("run"))
 
-    def compact(self, keep: bool = True, max_rounds: int = 20) -> int:
+    def compact(self, reclaim: bool = False, max_rounds: int = 20) -> int:
         """Merge until no tier has `fanout` shards below half the target; returns the version. Rows stay as they are.
 
-        A round goes in a few waves, each with a commit of its own. Without `keep` the shards that a wave replaced are deleted
-        after its commit, so a compaction needs room for a wave instead of the whole store; older versions can't be read then.
+        A round goes in a few waves, each with a commit of its own. Other writers may append and compact meanwhile: a wave whose
+        files they replaced is planned again. With `reclaim` the shards that a wave replaced are deleted after its commit,
+        so a compaction needs room for a wave instead of the whole store. That is for a store that nobody else reads: readers of
+        older versions lose their files. Without it, `vacuum` deletes them later.
         """
         for _ in range(max_rounds):
             plan = cut(self.plan())
-            runs = plan.groupBy("run").agg(F.count("*").alias("shards")).filter("shards > 1")
-            # one row per file of the target size
-            runs = cut(runs.select("run", "shards", (F.row_number().over(Window.orderBy("run")) - 1).alias("number")))
+            runs = _numbered(plan.groupBy("run").agg(F.count("*").alias("shards")).filter("shards > 1"), "run")
             n, shards = runs.agg(F.count("*"), F.sum("shards")).first()
             if not n:
                 return self.version()
@@ -207,56 +253,118 @@ class ShardStore:
             for wave in range(waves):
                 own = runs.filter(F.col("number") % waves == wave).select("run", F.floor(F.col("number") / waves).cast("int").alias("slot"))
                 files = plan.join(own, "run").select("file", "rows", "slot")
-                self._merge(files, len(range(wave, n, waves)))
-                if not keep:
-                    self._delete(files.select("file"))
+                try:
+                    self._merge(files, len(range(wave, n, waves)))
+                except StalePlan:
+                    break
+                if reclaim:
+                    self._delete(r.file for r in files.select("file").toLocalIterator())
         return self.version()
 
+    def _stale(self, files: DataFrame, listed: DataFrame) -> bool:
+        return not files.select("file").join(listed, "file", "left_anti").isEmpty()
+
     def _merge(self, plan: DataFrame, runs: int) -> int:
-        """Write one file for each slot of the plan (file, rows, slot) and commit it in place of the plan's files."""
-        at = self.version()
-        info = self.commit_info(at)
-        schema = T.StructType.fromJson(info["schema"])
-        out = uuid.uuid4().hex
-        key = free_name(self.spark.createDataFrame([], schema), "merge_run")
-        file = free_name(self.spark.createDataFrame([], schema), "merge_file")
-        names = [unquote(r.file) for r in plan.select("file").collect()]
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*names)
+        """Write one file for each slot of the plan (file, rows, slot) and commit it in place of the plan's files.
+
+        StalePlan if a version came up that doesn't list all of them; nothing is committed then.
+        """
+        schema = T.StructType.fromJson(self.commit_info()["schema"])
+        with self._run() as out:
+            try:
+                self._write_merged(plan, runs, schema, out)
+            except (PySparkException, Py4JJavaError) as error:  # a file may be gone under the reader
+                self._drop(out)
+                if self._stale(plan, self.manifest()):
+                    raise StalePlan from error
+                raise
+            new = cut(self._list(out, schema))  # a row per merged file
+            lost = plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] - new.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            if lost:
+                raise RuntimeError(f"a merge lost {lost} rows; nothing was committed")
+            while True:
+                self._alive(out)
+                at = self.version()
+                listed = self.manifest(at)
+                if self._stale(plan, listed):
+                    self._drop(out)
+                    raise StalePlan
+                try:
+                    return self._publish(at, listed.join(plan.select("file"), "file", "left_anti").select("file", "bytes", "rows").unionByName(new), schema)
+                except CommitConflict:
+                    continue
+
+    def _write_merged(self, plan: DataFrame, runs: int, schema: T.StructType, out: str) -> None:
+        empty = self.spark.createDataFrame([], schema)
+        key, file = free_name(empty, "merge_run"), free_name(empty, "merge_file")
+        names = [r.file for r in plan.select("file").collect()]  # of one wave
         placed = plan.join(_placement(self.spark, runs), "slot").select(F.col("file").alias(file), F.col("place").alias(key))
         if len(names) <= 4 * self.tiering.wave_files:  # some hundred bytes each; a tier of very small shards may make larger waves
             placed = F.broadcast(placed)
-        rows = rows.select("*", F.col("_metadata.file_path").alias(file)).join(placed, file).drop(file)
+        rows = self._below(names, schema).select("*", _below_data(F.col("_metadata.file_path")).alias(file)).join(placed, file).drop(file)
         rows.repartition(runs, key).write.partitionBy(key).parquet(f"{self.path}/data/{out}")
-        new = self._list(out, schema)
-        lost = plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] - new.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-        if lost:
-            raise RuntimeError(f"a merge lost {lost} rows; nothing was committed")
-        rest = self.manifest(at).join(plan.select("file"), "file", "left_anti").select("file", "bytes", "rows")
-        return self._publish(at, rest.unionByName(new), schema)
-
-    def _delete(self, files: DataFrame) -> None:
-        """Delete shards one by one; their names pass through the driver but aren't held there."""
-        path, fs, _ = self._fs()
-        uri = self.spark._jvm.java.net.URI
-        for r in files.toLocalIterator():
-            fs.delete(path(uri(r.file)), False)
 
-    def vacuum(self) -> int:
-        """Delete shards that the newest version doesn't list, and runs without any; returns how many shards went.
+    def _drop(self, run: str) -> None:
+        path, fs, _ = self._fs()
+        fs.delete(path(f"{self.path}/data/{run}"), True)
 
-        Older versions can't be read then.
+    def _delete(self, files: Iterable[str]) -> int:
+        """Delete shards, several at once; their names pass through the driver but aren't held there. Returns how many."""
+        path, fs, _ = self._fs()
+        names, done = iter(files), 0
+        with ThreadPoolExecutor(16) as pool:
+            while some := list(islice(names, 1000)):
+                done += sum(pool.map(lambda x: bool(fs.delete(path(f"{self.path}/data/{x}"), False)), some))
+        return done
+
+    def vacuum(self, retain: float = 3600.0, expire: float = 7 * 86400.0) -> int:
+        """Delete shards that no retained version lists, and runs without any; returns how many shards went.
+
+        retain: versions that were the newest within so many seconds stay readable; older ones don't. Runs that a writer is at
+        work on are left alone, unless their marker is older than `expire` seconds: that writer counts as dead and
+        will not be able to commit.
         """
         path, fs, _ = self._fs()
-        schema = T.StructType.fromJson(self.commit_info()["schema"])
-        listed = self.manifest().select("file")
-        there = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/data").select(F.col("_metadata.file_path").alias("file")).distinct()
-        gone = cut(there.join(listed, "file", "left_anti"))
-        self._delete(gone)
-        live = {r.run for r in listed.select(F.regexp_extract("file", r"/data/([0-9a-f]{32})/", 1).alias("run")).distinct().collect()}
-        for x in [x.getPath() for x in fs.listStatus(path(f"{self.path}/data"))]:
-            if x.getName() not in live:
-                fs.delete(x, True)
-        return gone.count()
+        # in this order: a run that was there and is not pending any more has been committed, or given up, before the version is read
+        folders = [x.getPath().getName() for x in fs.listStatus(path(f"{self.path}/data"))]
+        listing = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.path}/data")
+        there = cut(listing.select(_below_data(F.col("path")).alias("file")))
+        now, busy = time.time(), []
+        for x in fs.listStatus(path(f"{self.path}/pending")) if fs.exists(path(f"{self.path}/pending")) else []:
+            if now - x.getModificationTime() / 1000 > expire:
+                fs.delete(x.getPath(), False)
+            else:
+                busy.append(x.getPath().getName())
+        version = self.version()
+        live = self.manifest(version).select("file")
+        since = self._committed(version)
+        while version > 1 and now - since < retain:
+            version, since = version - 1, self._committed(version - 1)
+            live = live.unionByName(self.manifest(version).select("file"))
+        live = cut(live.distinct())
+        kept = {*busy, *(r.run for r in live.select(F.substr("file", F.lit(1), F.lit(32)).alias("run")).distinct().collect())}
+        gone = cut(there.filter(~F.substr("file", F.lit(1), F.lit(32)).isin(*busy) if busy else F.lit(True)).join(live, "file", "left_anti"))
+        n = gone.count()
+        for run in folders:
+            if run not in kept:
+                self._drop(run)
+        rest = gone.filter(F.substr("file", F.lit(1), F.lit(32)).isin(*kept)) if kept else gone.limit(0)
+        self._delete(r.file for r in rest.toLocalIterator())
+        return n
+
+    def _committed(self, version: int) -> float:
+        """When a version was committed, in seconds; 0 for the empty store."""
+        path, fs, _ = self._fs()
+        return fs.getFileStatus(path(f"{self.path}/commits/{version:012d}")).getModificationTime() / 1000 if version else 0.0
+
+
+def _numbered(df: DataFrame, key: str, number: str = "number") -> DataFrame:
+    """df, whose `key` is unique, with numbers 0, 1, ...; a task numbers about NUMBERED rows, another the tasks."""
+    part = free_name(df, "number_part")
+    parts = F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // NUMBERED)))
+    df = cut(df.withColumn(part, parts))
+    before = df.groupBy(part).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return cut(df.join(before, part).withColumn(number, F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1 + F.col("before")).drop(part, "before"))
 
 
 def _placement(spark: SparkSession, n: int) -> DataFrame:
@@ -271,21 +379,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def shard(docs: DataFrame, tiering: Tiering = Tiering(), path: str | None = None) -> DataFrame:
-    """Store docs as one arrival, compact the store and return all its rows with the columns `shard` and `version`.
+def shard(docs: DataFrame, tiering: Tiering = Tiering(), path: str | None = None, arrivals: int = 4) -> DataFrame:
+    """Store docs in some arrivals, compact the store and return all its rows with the columns `shard` and `version`.
 
-    Rows come back as they were, nulls, repeated and empty ones too. path: of the store, by default a new one.
+    Rows come back as they were, nulls, repeated and empty ones too. path: of the store, by default a new one, whose replaced shards are
+    deleted at once; in a store that was named they stay for its other readers until a vacuum.
     """
     store = ShardStore(docs.sparkSession, path or shared_path(docs.sparkSession, "shards"), tiering)
-    store.append(docs)
-    version = store.compact(keep=False)
-    store.vacuum()
+    store.append(docs, arrivals)
+    version = store.compact(reclaim=path is None)
+    if path is None:
+        store.vacuum(retain=0)
     rows = store.read(version)
     return rows.withColumn(free_name(rows, "version"), F.lit(version).cast("long"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard after compaction, with the shard's rows."""
+    """Every document's shard after its four arrivals were merged."""
     docs = table(spark, sf_dir, "documents")
     return shard(docs).select("doc_id", "shard", "version", F.octet_length("text").cast("long").alias("n_bytes"))
 
