@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, let, table
-from .sharding import shared_path
+from .common import cut, free_name, let, shared_path, table
 
 
 @dataclass(frozen=True)
@@ -71,7 +70,8 @@ def rates(docs: DataFrame, p: Mixture = Mixture(), source_col: str = "source") -
 
 
 def replicate(docs: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", source_col: str = "source", copy: str = "copy", n_copies: str = "n_copies") -> DataFrame:
-    """docs with one row per copy and two columns, `copy` from 1 and `n_copies`; not shuffled yet.
+    """docs with one row per copy and two more columns, the last ones: `n_copies` and `copy` from 1, underscored where docs has
+    columns of these names; not shuffled yet.
 
     Rows that repeat an id draw the same count, a null id draws as the text "null". A document whose draw is 0 has no copy.
     """
@@ -98,7 +98,7 @@ def replicate(docs: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", s
         cdf = F.col(table_of)
     count, at = free_name(d, n_copies), free_name(d, copy)
     d = d.withColumn(count, let(u, lambda x: F.size(F.filter(cdf, lambda c: c < x)))).filter(F.col(count) > 0)
-    return d.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(*extra)
+    return d.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(*extra).select(*[F.col(f"`{c}`") for c in docs.columns], count, at)
 
 
 def _with_cdf(chosen: DataFrame) -> DataFrame:
@@ -113,15 +113,17 @@ def _with_cdf(chosen: DataFrame) -> DataFrame:
 
 
 def shuffled(copies: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", copy: str = "copy", key: str = "shuffle_key") -> DataFrame:
-    """The copies in a random global order that depends on the seed alone; `key` is what they are sorted by."""
+    """The copies in a random global order that depends on the seed alone; `key` is what they are sorted by, underscored where
+    there is a column of this name. `copy` is the column of that name that replicate() added."""
     word = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string"), F.lit(str(p.seed)), F.lit("order")))
+    key = free_name(copies, key)
     return copies.withColumn(key, word).orderBy(key)
 
 
 def mix(docs: DataFrame, p: Mixture = Mixture(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mixture: the columns of docs, one row per copy, in random global order."""
-    copies = replicate(docs, p, id_col, source_col, "__copy", "__n_copies")
-    return shuffled(copies, p, id_col, "__copy", "__shuffle_key").select(*docs.columns)
+    copies = replicate(docs, p, id_col, source_col)
+    return shuffled(copies, p, id_col, copies.columns[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

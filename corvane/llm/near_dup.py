@@ -3,15 +3,18 @@
 1. One pass over the texts gives each document its set size, a 128-bit fingerprint of the set, band keys and
    an odd sketch. The sketch folds the MinHash samples into a bitmap by parity: a sample that two documents
    share cancels out in the XOR of their bitmaps, so the population count of the XOR measures how many differ.
-2. Documents of equal sets collapse into a class with the smallest id as its representative.
-3. Representatives that share a band key are compared by sketch (`link_within`). Only a spanning forest of
+2. Documents of equal sets collapse into a class with a number of its own; one document of the class, that of the
+   smallest id, stands for it.
+3. Classes that share a band key are compared by sketch (`link_within`). Only a spanning forest of
    the links found leaves a task, never all pairs of a group.
 4. The candidate groups so found are compared once more, now on full sets, and what that confirms makes up
    the components.
 
 `link_within` deals a group out in blocks of bounded weight. The group's leader goes to each block, so a large
 group of alike documents comes together after one round. Only documents that didn't join their group's
-main part then meet all blocks of the group. No cap drops anything.
+main part go on: they meet those of the group that share a band key with them, also block by block. A long chain of
+documents, each like the next, so costs as much as its bands hold. What stays quadratic is a crowd whose members all share bands, all
+look alike to the sketch and are yet not linked to the leader. No cap drops anything.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, constants, cut, mix, ngram_hashes, slices, span_hashes, table, utf8, word_spans
-from .components import connected_components
+from .common import BLANKS, LOWER, constants, cut, free_name, mix, ngram_hashes, slices, span_hashes, table, utf8, word_spans
+from .components import attach, connected_components
 
 SKETCH_BITS = 512
 
@@ -47,6 +50,7 @@ class NearDup:
     sigmas: float = 5.0
     block_rows: int = 1024
     block_shingles: int = 1_000_000
+    late_rows: int = 16_384  # of a block in the second round of sketches, where each block meets all others
 
     @property
     def samples(self) -> int:
@@ -98,7 +102,7 @@ def _samples(u: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, fp1, fp2, bands, sketch) for every row."""
+    """(id, text_key, n, fp1, fp2, bands, sketch) for every row; text_key is a hash of the text."""
     k = p.samples
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +113,7 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
         for batch in batches:
             n, f1, f2 = [], [], []
             least = np.zeros((batch.num_rows, k), np.uint32)
-            for r, u in enumerate(_sets(batch.column(1), p.shingle)):
+            for r, u in enumerate(_sets(batch.column(2), p.shingle)):
                 n.append(len(u))
                 f1.append(int(np.sum(mix(u))))
                 f2.append(int(np.bitwise_xor.reduce(mix(u + np.uint64(77)))) if len(u) else 0)
@@ -123,17 +127,25 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(f1, np.uint64).view(np.int64)),
                     pa.array(np.array(f2, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, p.bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
                     pa.array([x.tobytes() for x in packed], pa.binary()),
                 ],
-                names=["id", "n", "fp1", "fp2", "bands", "sketch"],
+                names=["id", "text_key", "n", "fp1", "fp2", "bands", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, fp1 long, fp2 long, bands array<long>, sketch binary")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, n long, fp1 long, fp2 long, bands array<long>, sketch binary")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
 
 
 # ---------------------------------------------------------------- comparing groups in blocks
@@ -233,88 +245,120 @@ def _compare(tasks: DataFrame, p: NearDup, exact: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool) -> DataFrame:
+def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool, bands: DataFrame | None = None) -> DataFrame:
     """Edges that connect whatever is similar within a group.
 
-    members: (grp, id), payloads: (id, n, payload). A group weighs as many rows, or shingles if `exact`, and is
+    members: (grp, id), payloads: (id, n, payload), bands: (id, band). A group weighs as many rows, or shingles if `exact`, and is
     dealt out in blocks of bounded weight, its leader (smallest id) going to each block. Groups of one block
-    are done then. In larger ones, members outside the leader's component meet all blocks of their group.
+    are done then. In larger ones, members outside the leader's component meet all blocks of their group, or if `bands` is given
+    those members of the group that share a band with them.
     """
-    limit = p.block_shingles if exact else p.block_rows
     weight = F.col("n") if exact else F.lit(1)
     m = cut(members.join(payloads.select("id", "n"), "id"))
+    total = m.count()
     groups = m.groupBy("grp").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.min("id").alias("leader")).filter("rows > 1")
-    groups = groups.select("grp", "leader", F.ceil(F.col("weight") / limit).cast("int").alias("blocks"))
-    m = m.join(groups, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = cut(m)
-    first = m.select("grp", "id", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("t2"))
+    groups = cut(groups.select("grp", "rows", "leader", F.ceil(F.col("weight") / (p.block_shingles if exact else p.block_rows)).cast("int").alias("blocks")))
+    m = cut(attach(m, groups, "grp", total, "rows"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    first = m.select("grp", "id", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("t2"))
     first = first.select(F.col("grp").alias("t1"), "t2", F.lit(-1).alias("t3"), "id")
     edges = _compare(first.join(payloads, "id"), p, exact)
-    wide = m.filter("blocks > 1")
-    if wide.isEmpty():
+    if groups.filter("blocks > 1").isEmpty():
         return edges
     edges = cut(edges)
-    parts = connected_components(edges)
-    wide = wide.join(parts, F.col("id") == F.col("node"), "left").select("grp", "id", "leader", "blocks", "own", F.coalesce("component", "id").alias("part"))
-    main = parts.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-    wide = wide.join(main, "leader", "left").withColumn("rest", F.col("part") != F.coalesce("main", "leader"))
-    counts = wide.filter("rest").groupBy("grp").agg(F.sum(F.lit(1)).alias("odd"))
-    wide = cut(wide.join(counts, "grp").withColumn("odd_blocks", F.least(F.col("blocks"), F.col("odd").cast("int"))))
+    parts = cut(connected_components(edges))
+    main = groups.filter("blocks > 1").join(parts, F.col("leader") == F.col("node"), "left").select("grp", "rows", F.coalesce("component", "leader").alias("main"))
+    late = attach(m.filter("blocks > 1").select("grp", "id", "n"), main, "grp", total, "rows")
+    late = late.join(parts, F.col("id") == F.col("node"), "left").select("grp", "id", "n", (F.coalesce("component", "id") != F.col("main")).alias("rest"))
+    if bands is not None:
+        late = late.join(bands, "id").select(F.xxhash64("grp", "band").alias("grp"), "id", "n", "rest")
+    late = cut(late)
+    size = F.lit(p.block_shingles if exact else p.late_rows)
+    counts = late.groupBy("grp").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.sum(F.when(F.col("rest"), weight)).alias("odd")).filter("odd is not null and rows > 1")
+    counts = cut(counts.select("grp", "rows", F.ceil(F.col("weight") / size).cast("int").alias("blocks"), F.ceil(F.col("odd") / size).cast("int").alias("odd_blocks")))
+    late = cut(attach(late, counts, "grp", late.count(), "rows"))
     # a task is (block of the rest, block of the group); members of the main part need not meet one another
-    odd = wide.filter("rest").select("grp", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("odd_blocks")).cast("int").alias("x"))
-    to_all = odd.select("grp", "id", F.col("x").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t3"))
-    from_all = wide.select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("t2"), F.col("own").alias("t3"))
+    to_all = late.filter("rest").select("grp", "id", F.pmod(F.xxhash64("id"), F.col("odd_blocks")).cast("int").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t3"))
+    from_all = late.select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("t2"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("t3"))
     second = to_all.unionByName(from_all).distinct().withColumnRenamed("grp", "t1")
     return edges.unionByName(_compare(second.join(payloads, "id"), p, exact))
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """(grp, id) of band keys that two or more representatives share."""
-    rows = reps.select("id", F.explode("bands").alias("grp"))
-    shared = rows.groupBy("grp").agg(F.count("*").alias("rows")).filter("rows > 1").select("grp")
-    return rows.join(shared, "grp")
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(grp, id) of band keys that two or more classes share."""
+    rows = classes.select("id", F.explode("bands").alias("grp"))
+    shared = rows.groupBy("grp").agg(F.count("*").alias("rows")).filter("rows > 1")
+    return rows.join(shared.select("grp"), "grp")
 
 
 # ---------------------------------------------------------------- the operator
 
 
+def _verdicts(docs: DataFrame, p: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, n_shingles, component_id, kept), one row per row of docs."""
+    sig = cut(signatures(docs, p, id_col, text_col))
+    full = sig.filter("n > 0 and id is not null")
+    # an id may have several texts, so a class has a number, not the id that stands for it
+    classes = full.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    own = full.join(classes.select("fp1", "fp2", "n", "rep", "node"), ["fp1", "fp2", "n"]).filter("id = rep").dropDuplicates(["node"])
+    own = cut(own.select(F.col("node").alias("id"), "n", "bands", F.col("sketch").alias("payload"), "rep", "text_key"))
+    candidates = connected_components(link_within(_buckets(own), own.select("id", "n", "payload"), p, exact=False))
+    candidates = cut(candidates.withColumnsRenamed({"node": "id", "component": "grp"}))
+    of_candidates = own.select("id", "n", "bands", "rep", "text_key").join(candidates.select("id"), "id", "left_semi")
+    sets = cut(_full_sets(docs, of_candidates.select("id", "rep", "text_key"), p, id_col, text_col))
+    linked = connected_components(link_within(candidates, sets, p, exact=True, bands=of_candidates.select("id", F.explode("bands").alias("band"))))
+    linked = cut(linked.join(classes.select("node", "rep"), "node"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    names = attach(linked.select("component", "node"), least, "component", linked.count()).select("node", "component_id")
+    classes = classes.join(names, "node", "left").select("fp1", "fp2", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    rows = sig.select("id", "text_key", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
+    out = rows.select("id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of docs.
 
     A null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle
     has the whole sequence as its one shingle. Rows that repeat an id with the same text behave as one
-    document. A row without id is a document of its own: component_id null, kept true. Other columns of docs
+    document; with different texts each goes by its own text, and `kept` says whether the id is the smallest of its component.
+    A row without id is a document of its own: component_id null, kept true. Other columns of docs
     are not looked at.
     """
-    sig = cut(signatures(docs, p, id_col, text_col))
-    full = sig.filter("n > 0 and id is not null")
-    classes = full.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"))
-    classes = cut(classes)
-    reps = full.join(classes, ["fp1", "fp2", "n"]).filter("id = rep").dropDuplicates(["id"]).select("id", "n", "bands", F.col("sketch").alias("payload"))
-    reps = cut(reps)
-    candidates = connected_components(link_within(_buckets(reps), reps.select("id", "n", "payload"), p, exact=False))
-    candidates = cut(candidates.withColumnsRenamed({"node": "id", "component": "grp"}))
-    sets = cut(_full_sets(docs, candidates.select("id"), p, id_col, text_col))
-    linked = connected_components(link_within(candidates, sets, p, exact=True))
-    classes = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = sig.select("id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return _verdicts(docs, p, id_col, text_col).drop("text_key")
+
+
+def without_copies(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps. Rows go by their id and text, so that of rows with the same
+    id those with a text of their own stay."""
+    gone = _verdicts(docs, p, id_col, text_col).filter("not kept").select("id", "text_key").distinct()
+    a, b = free_name(docs, "gone_id"), free_name(docs, "gone_text")
+    gone = gone.toDF(a, b)
+    return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(a)) & (_text_key(text_col) == F.col(b)), "left_anti")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, payload) with the whole shingle set of each wanted document."""
+    """(id, n, payload) with the whole shingle set of each wanted class: (id, rep, text_key), a document that stands for it.
+
+    A row that repeats is left out where its task has seen it; the rest of such repeats does no harm.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            ids = batch.column(0).to_pylist()
+            new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            batch = batch.take(pa.array(new, pa.int64()))
             step = 256  # a set can be several times the size of its text
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 sets = list(_sets(part.column(1), p.shingle))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "payload"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, n long, payload binary")
+    rows = _rows(docs, id_col, text_col).withColumnRenamed("id", "rep")
+    return rows.join(wanted, ["rep", "text_key"]).select("id", "text").mapInArrow(run, "id long, n long, payload binary")
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, ensure_checkpoint_dir, free_name, table
+from .common import cut, free_name, shared_path, table
 
 MANIFEST = "file string, bytes long, rows long"
 #: Rows of a table that are numbered in one task.
@@ -373,12 +373,6 @@ def _placement(spark: SparkSession, n: int) -> DataFrame:
     return tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).cast("int").alias("slot")).agg(F.min("id").alias("place"))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def shard(docs: DataFrame, tiering: Tiering = Tiering(), path: str | None = None, arrivals: int = 4) -> DataFrame:
     """Store docs in some arrivals, compact the store and return all its rows with the columns `shard` and `version`.
 

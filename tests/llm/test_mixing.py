@@ -89,3 +89,16 @@ def test_large_rates(spark, most):
     want = {i: copies(i, poisson_cdf(rate[names[i % 4]])) for i in range(24)}
     assert got == {i: n for i, n in want.items() if n}
     assert all(abs(n - rate[names[i % 4]]) < 6 * rate[names[i % 4]] ** 0.5 + 6 for i, n in want.items())
+
+
+@pytest.mark.parametrize("most", [2000, 0])
+def test_clashing_names(spark, most):
+    names = ["__copy", "__n_copies", "__shuffle_key", "copy", "n_copies", "shuffle_key", "mix_source", "mix_cdf"]
+    df = spark.createDataFrame([(i, "ab"[i % 2], *(f"{c}{i}" for c in names)) for i in range(200)], "doc_id long, source string, " + ", ".join(f"{c} string" for c in names))
+    p = Mixture(weights={"a": 3.0, "b": 1.0}, max_sources=most)
+    plain = [r.doc_id for r in mix(df.select("doc_id", "source"), p).collect()]
+    got = mix(df, p)
+    rows = got.collect()
+    assert got.columns == df.columns and [r.doc_id for r in rows] == plain  # the same order as without them
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert replicate(df, p).columns == [*df.columns, "_n_copies", "_copy"]

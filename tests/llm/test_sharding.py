@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import sharding
-from corvane.llm.sharding import CommitConflict, ShardStore, Tiering, op5_sharding, shard, shared_path
+from corvane.llm.common import shared_path
+from corvane.llm.sharding import CommitConflict, ShardStore, Tiering, op5_sharding, shard
 
 
 def bag(df, columns):
