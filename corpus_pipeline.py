@@ -8,44 +8,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, mixing, near_dup, quality, sharding
-from corvane.llm.common import free_name, table
+from corvane.llm.common import free_name, shared_path, table
 
 #: Near-duplicate stages of the pipeline go by five words and a similarity of 0.8.
 NEAR = near_dup.NearDup(shingle=5, percent=80)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    """Documents that pass the base rules and the risk-controlled cutoffs.
+
+    A null, empty or very short text fails the base rules. Rows are judged one by one, so repeated rows and ids go or stay alike;
+    an empty table stays empty, and any other columns stay as they are.
+    """
     chosen = quality.cutoffs(docs, table(spark, sf_dir, "labels"))
     verdict = free_name(docs, "quality")
-    return quality.judge(docs, chosen, out=verdict).filter(F.col(verdict)["kept"]).select(*docs.columns)
+    return quality.judge(docs, chosen, out=verdict).filter(F.col(verdict)["kept"]).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near-duplicates."""
-    gone = near_dup.near_duplicates(docs, NEAR).filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document, the one of the smallest id, of each group of near-duplicates.
+
+    Rows are judged by id and text: of rows that share an id, each stays or goes for its own text. Where rows repeat both, all of them stay
+    or go together. Rows without an id and texts without words stay. Other columns stay as they are, whatever their names.
+    """
+    return near_dup.without_copies(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item, exact or edited."""
+    """Documents that contain no benchmark item, exact or edited.
+
+    Null and empty texts contain none and stay; with an empty benchmark all rows do. Repeated rows go or stay alike.
+    """
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents to the target weights of their sources, in random order."""
+    """Copies of documents to the target weights of their sources, in random order.
+
+    A null source is a source of its own, rows without an id draw one count, and rows that repeat an id draw the same count each.
+    """
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with their shard and the version of the manifest."""
+    """All rows, nulls, empty and repeated ones too, with their shard and the version of the manifest."""
     return sharding.shard(docs)
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_rules),
     ("near_dedup", near_dedup),
@@ -59,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = sharding.shared_path(spark, f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
