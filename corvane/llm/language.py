@@ -4,7 +4,7 @@ Words (runs of letters) are scored per language by hashed trigrams of characters
 narrows the languages: only those that used the script in training may claim it. Viterbi over the words, with a penalty
 for each change of language, labels spans; the language with the most letters is the text's.
 
-Scores of a whole batch come from one table look-up per character and prefix sums. A text keeps one language throughout
+Each distinct word of a batch is scored once, by one table look-up per character. A text keeps one language throughout
 unless some stretch of words gains over half a penalty by another; only texts with such a stretch need Viterbi, which
 then runs over all of them in step. This is exact, see `viterbi`.
 """
@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import slices, span_hashes, table, utf8
 
 UND = "und"
 #: First code points of script ranges and the number of the script; 0 holds no letters.
@@ -30,9 +30,12 @@ N_SCRIPTS = 16
 
 @dataclass(frozen=True)
 class LanguageId:
-    """sample: labelled rows that training uses at most (those of the smallest id hashes). buckets: of the trigram table."""
+    """sample: labelled rows of each language that training uses at most (those of the smallest id hashes). max_langs: languages that
+    are learned at most, those of most labelled rows, so that a dirty column can't make the model grow. buckets: of the trigram table.
+    """
 
-    sample: int = 6000
+    sample: int = 1500
+    max_langs: int = 256
     buckets: int = 1 << 16
     penalty: float = 12.0
     seed: int = 7
@@ -51,45 +54,72 @@ def _codepoints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, lead
 
 
-def _letter_table() -> np.ndarray:
-    """Whether a code point is a letter or a mark, as Python's character data says."""
+def _character_table() -> np.ndarray:
+    """2 for letters, 1 for marks, which belong to the words they are in, else 0, as Python's character data says."""
     import unicodedata
 
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x32000)], bool)
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+
 
+_characters: list[np.ndarray] = []
 
-_letters: list[np.ndarray] = []
 
+@dataclass(frozen=True)
+class Words:
+    """Words of some rows: runs of letters and marks with one letter at least.
+
+    row, letters (without marks), script (of the first letter or mark), first code point and number of them, per word; and
+    the code points of all rows.
+    """
 
-def features(column: pa.Array, p: LanguageId) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For row ranges: rows in it, then per word its row, letters, script, first feature and number of features; features."""
-    if not _letters:
-        _letters.append(_letter_table())
+    n_rows: int
+    row: np.ndarray
+    letters: np.ndarray
+    script: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    codes: np.ndarray
+
+    def keys(self, which: np.ndarray, buckets: int) -> np.ndarray:
+        """Features of some words, one after another: trigrams of code points over blank + word + blank, so as many as code points."""
+        start, size = self.start[which], self.size[which]
+        at = _ranges(start, size)
+        if not len(at):
+            return at
+        ends = np.cumsum(size)
+        before, after = self.codes[at - 1], self.codes[np.minimum(at + 1, len(self.codes) - 1)]
+        before[ends - size] = 32
+        after[ends - 1] = 32
+        h = (before * 0x9E3779B1 + self.codes[at] * 0x85EBCA77 + after * 0xC2B2AE3D).astype(np.uint64)
+        h = ((h ^ (h >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) >> np.uint64(12)
+        return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def words_of(column: pa.Array) -> Iterator[Words]:
+    """The words of row ranges. Null counts as empty."""
+    if not _characters:
+        _characters.append(_character_table())
     data, starts = utf8(pc.utf8_lower(column.fill_null("") if column.null_count else column))
     for i, j in slices(starts, 1 << 19):
         part, off = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+        none = np.zeros(0, np.int64)
         if not len(part):
-            yield j - i, *(np.zeros(0, np.int64),) * 6
+            yield Words(j - i, none, none, none, none, none, none)
             continue
-        cp, lead = _codepoints(part)
-        letter = _letters[0][np.minimum(cp, 0x31FFF)]
+        codes, lead = _codepoints(part)
+        kind = _characters[0][codes]
+        inside = kind > 0
         row = np.searchsorted(off, lead, side="right") - 1
-        first, last = letter.copy(), letter.copy()
+        first, last = inside.copy(), inside.copy()
         edge = row[1:] != row[:-1]
-        first[1:] &= ~letter[:-1] | edge
-        last[:-1] &= ~letter[1:] | edge
+        first[1:] &= ~inside[:-1] | edge
+        last[:-1] &= ~inside[1:] | edge
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        script = SCRIPTS[np.searchsorted(SCRIPTS[:, 0], cp[s], side="right") - 1, 1]
-        # a word's features: trigrams of code points over blank + word + blank, so as many as letters
-        inside = np.where(letter, cp, 32)
-        before = np.concatenate(([32], inside[:-1]))
-        before[first] = 32
-        after = np.concatenate((inside[1:], [32]))
-        after[last] = 32
-        h = (before * 0x9E3779B1 + inside * 0x85EBCA77 + after * 0xC2B2AE3D).astype(np.uint64)
-        h = ((h ^ (h >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) >> np.uint64(12)
-        keys = (h % np.uint64(p.buckets)).astype(np.int64)
-        yield j - i, row[s], e - s, script, s, e - s, keys
+        letters = np.concatenate(([0], np.cumsum(kind == 2)))
+        letters = letters[e] - letters[s]
+        s, e, letters = s[letters > 0], e[letters > 0], letters[letters > 0]
+        script = SCRIPTS[np.searchsorted(SCRIPTS[:, 0], codes[s], side="right") - 1, 1]
+        yield Words(j - i, row[s], letters, script, s, e - s, codes)
 
 
 # ---------------------------------------------------------------- training
@@ -110,36 +140,45 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, p: LanguageId = LanguageId(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trigram and script counts per language from at most p.sample rows that aren't held out.
+    """Trigram and script counts per language from at most p.sample rows of each that aren't held out.
 
-    What reaches the driver are counts of (language, bucket): their number is bounded by the table.
+    Rows that repeat an id with the same lang count as one. What reaches the driver are counts of (language, bucket): their number is bounded by the
+    table and p.max_langs. Ties of languages with as many ids, about: the first in order.
     """
-    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(p.seed)).alias("key"))
-    # the sample's ids first: whole texts don't take part in finding the smallest hashes
-    bound = rows.select("key").orderBy("key").limit(p.sample).agg(F.max("key")).first()[0]
-    if bound is None:
+    # the sample's hashes first: whole texts don't take part in finding the smallest
+    found = rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct("key"), F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(p.max_langs).collect()
+    if not found:
         return Model((), np.zeros((p.buckets, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
+    # twice as many as are needed and a hundred, on average, so that few rows have to be ranked
+    limits = [(r.lang, (2**64 - 1) * min(2 * p.sample + 100, r.n) // r.n - 2**63) for r in found]
+    spark = docs.sparkSession
+    few = rows.join(F.broadcast(spark.createDataFrame(limits, "lang string, most long")), "lang").filter("key <= most").select("lang", "key").distinct()
+    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("place") <= p.sample)
+    bounds = ranked.groupBy("lang").agg(F.max("key").alias("most")).collect()  # one row per language
+    bounds = F.broadcast(spark.createDataFrame([(r.lang, r.most) for r in bounds], "lang string, most long"))
+    sample = rows.join(bounds, "lang").filter("key <= most").dropDuplicates(["lang", "key"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             at = 0
-            for n, row, letters, script, s, _, keys in features(batch.column(1), p):
-                own = langs[at : at + n]
+            for w in words_of(batch.column(1)):
+                own = langs[at : at + w.n_rows]
                 for lang in set(own):
-                    mine = own[row] == lang
+                    mine = np.flatnonzero(own[w.row] == lang)
                     grams, seen = totals.setdefault(lang, (np.zeros(p.buckets, np.int64), np.zeros(N_SCRIPTS, np.int64)))
-                    grams += np.bincount(keys[_ranges(s[mine], letters[mine])], minlength=p.buckets)
-                    seen += np.bincount(script[mine], minlength=N_SCRIPTS)
-                at += n
+                    grams += np.bincount(w.keys(mine, p.buckets), minlength=p.buckets)
+                    seen += np.bincount(w.script[mine], minlength=N_SCRIPTS)
+                at += w.n_rows
         for lang, both in totals.items():
             for kind, counts in enumerate(both):
                 k = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array([kind] * len(k), pa.int32()), pa.array(k, pa.int64()), pa.array(counts[k], pa.int64())], names=["lang", "kind", "key", "n"])
 
-    counted = rows.filter(F.col("key") <= bound).select("lang", "text").mapInArrow(count, "lang string, kind int, key long, n long")
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, kind int, key long, n long")
     got = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(got["lang"].unique()))
     grams, scripts = np.zeros((p.buckets, len(langs))), np.zeros((N_SCRIPTS, len(langs)))
@@ -164,21 +203,21 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- prediction
 
 
-def word_scores(model: Model, s: np.ndarray, n: np.ndarray, script: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def word_scores(model: Model, w: Words) -> np.ndarray:
     """[word, lang]: sums of log probabilities over a word's trigrams, -inf-like where the script excludes a language.
 
-    A script that no language used excludes none, and its words say nothing.
+    Each distinct word is scored once. A script that no language used excludes none, and its words say nothing.
     """
-    sums = np.zeros((len(keys) + 1, len(model.langs)))
-    np.cumsum(model.weights[keys], axis=0, dtype=np.float64, out=sums[1:])
-    out = sums[s + n] - sums[s]
+    _, which, place = np.unique(span_hashes(w.codes, w.start, w.start + w.size), return_index=True, return_inverse=True)
+    size = w.size[which]
+    out = np.add.reduceat(model.weights[w.keys(which, len(model.weights))].astype(np.float64), np.cumsum(size) - size, axis=0)
     # long words of one document shouldn't outweigh all else
     out -= out.max(axis=1, keepdims=True)
-    may = model.scripts[script]
+    may = model.scripts[w.script[which]]
     none = ~may.any(axis=1)
     out[~may] = -60.0
     out[none] = 0.0
-    return np.maximum(out, -60.0)
+    return np.maximum(out, -60.0)[place]
 
 
 def viterbi(scores: np.ndarray, rows: np.ndarray, n_rows: int, penalty: float) -> np.ndarray:
@@ -238,8 +277,9 @@ def predict(docs: DataFrame, model: Model, p: LanguageId = LanguageId(), id_col:
     """(id, held_out, lang_pred, score[, spans]) of every row.
 
     lang_pred is the language of most letters and score its share; ties go to the first in order. A null text or one
-    without letters is `und` with score 0, and so is every text if nothing was learned. spans: arrays of (lang, words) in
-    text order. No shuffle; the model has a fixed size per language.
+    without letters (digits, marks, emoji and private characters are none) is `und` with score 0, and so is every text if nothing
+    was learned. spans: arrays of (lang, words) in text order. No shuffle; the model has a fixed size per language and
+    LanguageId.max_langs of them at most.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -248,13 +288,14 @@ def predict(docs: DataFrame, model: Model, p: LanguageId = LanguageId(), id_col:
         names = [*m.langs, UND]
         for batch in batches:
             pred, score, told = [], [], []
-            for n, row, letters, script, s, size, keys in features(batch.column(2), p):
+            for w in words_of(batch.column(2)):
+                n, row = w.n_rows, w.row
                 lang = np.full(n, len(m.langs), np.int64)
                 share = np.zeros(n)
                 path = np.zeros(0, np.int64)
                 if m.langs and len(row):
-                    path = viterbi(word_scores(m, s, size, script, keys), row, n, p.penalty)
-                    weight = np.bincount(row * len(m.langs) + path, weights=letters, minlength=n * len(m.langs)).reshape(n, -1)
+                    path = viterbi(word_scores(m, w), row, n, p.penalty)
+                    weight = np.bincount(row * len(m.langs) + path, weights=w.letters, minlength=n * len(m.langs)).reshape(n, -1)
                     total = weight.sum(axis=1)
                     has = total > 0
                     lang[has] = weight[has].argmax(axis=1)
