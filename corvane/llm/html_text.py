@@ -1,10 +1,13 @@
 """Main text of web pages: the maximum-scoring run of words and tags.
 
 A page is a sequence of tags and text runs. Each word counts the weight of its context (the nearest telling element
-around it), each tag its own, mostly negative, weight; weights are log odds of lying inside the article, counted on
-labelled pages (those that mark one article themselves). One linear scan finds the contiguous run of the greatest sum.
-What lies in menus, forms, notices and the like counts nothing and is left out. The run is widened to the element that holds
-it whole, to the outermost article or else main around that, and from a section to the sections beside it.
+around it, else its block: p, li, div ...), each tag its own, mostly negative, weight; weights are log odds of lying inside the
+article, counted on labelled pages (those that mark one article themselves). One linear scan finds the contiguous run of the
+greatest sum. What lies in menus, forms, notices and the like counts nothing and is left out of the run.
+
+The run decides what is text. Short blocks at its ends, which may score below their tags, come with it: it is widened to the
+element that holds it whole, to the outermost article or else main around that, and from a section to the sections beside it.
+Where nothing but the page itself holds it, it is widened to the blocks next to it that lie in no other element.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,10 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, utf8
 
+#: Attributes end at the next <, quoted ones aside, and what has no end is given up at once, so matching takes linear time.
+_ATTRIBUTES = r"""(?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+"""
 PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|noembed|noframes|xmp|svg|math|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|iframe|noembed|noframes|xmp|svg|math|object)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attr>{_ATTRIBUTES})>"
+    r"""|<(?P<broken>/?[a-zA-Z][^<>"']*+)(?=<)""",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -67,9 +73,11 @@ class Weights:
 
 @dataclass(frozen=True)
 class HtmlText:
-    """sample: labelled pages that the weights are counted on at most (those of the smallest id hashes)."""
+    """sample: labelled pages that the weights are counted on at most (those of the smallest id hashes). contexts: contexts and tags
+    that get weights at most, the most frequent; others have the defaults of their kinds."""
 
     sample: int = 2000
+    contexts: int = 10_000
     least: float = 0.05
     most: float = 4.0
 
@@ -123,18 +131,18 @@ def _dropped(tag: str, attr: str, inside: Node | None) -> tuple[bool, str]:
 
 
 class Part:
-    """A text run or a tag, with the element around it. words is 0 for tags."""
+    """A text run or a tag, with the element around it. words is 0 for tags. inner: the block that text is in, as <name>."""
 
-    __slots__ = ("block", "key", "node", "text", "words")
+    __slots__ = ("block", "inner", "key", "node", "text", "words")
 
-    def __init__(self, text: str, words: int, node: Node, block: int, key: str) -> None:
-        self.text, self.words, self.node, self.block, self.key = text, words, node, block, key
+    def __init__(self, text: str, words: int, node: Node, block: int, key: str, inner: str = "") -> None:
+        self.text, self.words, self.node, self.block, self.key, self.inner = text, words, node, block, key, inner
 
 
 def parse(page: str) -> list[Part]:
     """Text runs and tags in page order. Text runs of one block have the same block number."""
     root = Node("html", None, False, "html")
-    node, block, link = root, 0, 0
+    node, block, link, inner = root, 0, 0, ""
     nodes, opened = [root], Counter(["html"])
     out: list[Part] = []
     at = 0
@@ -157,7 +165,7 @@ def parse(page: str) -> list[Part]:
         if raw:
             s = entities.unescape(raw) if "&" in raw else raw
             n = len(s.split())
-            out.append(Part(s, n, node, block, "a" if link > 0 else node.kind))
+            out.append(Part(s, n, node, block, "a" if link > 0 else node.kind, f"<{inner or node.tag}>"))
 
     for m in PART.finditer(page):
         text(page[at : m.start()])
@@ -184,7 +192,7 @@ def parse(page: str) -> list[Part]:
             elif node.tag == tag and node.kind == "hidden":
                 node = leave() if end else enter(tag, True, "hidden")
             continue
-        block, link = block + 1, 0
+        block, link, inner = block + 1, 0, "" if end or tag in HOLDERS else tag
         out.append(Part("", 0, node, block, f"/{tag}" if end else tag))
         while node.tag in INLINE:
             node = leave()
@@ -251,30 +259,51 @@ def _sections(parts: list[Part], section: Node) -> set[int]:
     return {k for k, v in known.items() if v}
 
 
+def _score(x: Part, w: Weights) -> float:
+    if x.node.dropped:  # what is left out parts nothing
+        return 0.0
+    if not x.words:
+        return w.tags.get(x.key, w.tag) if x.key else 0.0
+    each = w.words.get(x.key)
+    if each is None:
+        each = w.link_word if x.key == "a" else w.words.get(x.inner, w.word)
+    return x.words * each
+
+
 def best_run(parts: list[Part], w: Weights) -> tuple[int, int]:
     """First and last part of the run of the greatest sum; (0, -1) if no part scores positive. Ties: the first run."""
     best, run, start, out = 0.0, 0.0, 0, (0, -1)
     for i, x in enumerate(parts):
-        if x.words:
-            s = x.words * w.words.get(x.key, w.link_word if x.key == "a" else w.word)
-        else:
-            s = w.tags.get(x.key, w.tag) if x.key else 0.0
-        if x.node.dropped:  # what is left out parts nothing
-            s = 0.0
         if run <= 0:
             run, start = 0.0, i
-        run += s
+        run += _score(x, w)
         if run > best:
             best, out = run, (start, i)
     return out
 
 
-def extract(page: str | None, w: Weights) -> str:
-    """The article's blocks, each with single blanks, joined by empty lines; empty if there is none."""
+def _end(parts: list[Part], i: int, step: int, top: Node, w: Weights) -> int:
+    """The last part from i on, in a direction, that comes with a run which only the page holds: what lies right in `top`, up to the
+    first words that score negative."""
+    last = i
+    i += step
+    while 0 <= i < len(parts) and (parts[i].node is top or parts[i].node.dropped) and not (parts[i].words and _score(parts[i], w) < 0):
+        last, i = i, i + step
+    return last
+
+
+def extract(page: str | None, w: Weights, scan: Callable[[list[Part], Weights], tuple[int, int]] = best_run) -> str:
+    """The article's blocks, each with single blanks, joined by empty lines; empty if there is none.
+
+    scan: finds the run. Where learned weights leave no run, as on pages unlike all those that were labelled, the defaults are tried.
+    """
     if not page:
         return ""
     parts = parse(page)
-    first, last = best_run(parts, w)
+    first, last = scan(parts, w)
+    if last < first and (w.words or w.tags):
+        w = Weights()
+        first, last = scan(parts, w)
     run = [x for x in parts[first : last + 1] if x.words and not x.node.dropped]
     if not run:
         return ""
@@ -284,12 +313,22 @@ def extract(page: str | None, w: Weights) -> str:
         top = top.parent
     while top is not None and top.parent is not None and top.tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tr", "blockquote", "figure", "header"):
         top = top.parent
-    if top is not None:
-        top = top.article or top.main or top
-    beside = _sections(parts, top) if top is not None and top.tag == "section" else frozenset()
+    assert top is not None  # the root holds everything
+    top = top.article or top.main or top
+    if top.tag in ("html", "body"):
+        while not any(x.words and not x.node.dropped for x in parts[first : first + 1]):
+            first += 1
+        while not any(x.words and not x.node.dropped for x in parts[last : last + 1]):
+            last -= 1
+        first = _end(parts, first, -1, top, w) if parts[first].node is top else next(i for i, x in enumerate(parts) if x.block == parts[first].block and x.node is parts[first].node)
+        last = _end(parts, last, 1, top, w) if parts[last].node is top else max(i for i, x in enumerate(parts) if x.block == parts[last].block and x.node is parts[last].node)
+        chosen = parts[first : last + 1]
+    else:
+        beside = _sections(parts, top) if top.tag == "section" else frozenset()
+        chosen = [x for x in parts if _holds(top, x.node) or x.node.number in beside]
     lines: dict[int, list[str]] = {}
-    for x in parts:
-        if x.text and not x.node.dropped and (top is None or _holds(top, x.node) or x.node.number in beside):
+    for x in chosen:
+        if x.text and not x.node.dropped:
             lines.setdefault(x.block, []).append(x.text)
     blocks = (" ".join("".join(x).split()) for x in lines.values())
     return "\n\n".join(x for x in blocks if x)
@@ -327,12 +366,13 @@ def learn(pages: DataFrame, p: HtmlText = HtmlText(), id_col: str = "page_id", h
                 inside = _labelled(parts)
                 for x, label in zip(parts, inside or [], strict=inside is not None):
                     total["word" if x.words else "tag", x.key, label] += x.words or 1
+                    if x.words and x.key != "a":
+                        total["word", x.inner, label] += x.words
         rows = [(k, key, label, n) for (k, key, label), n in total.items() if key]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["kind", "key", "inside", "n"])
 
     counted = keyed.filter(F.col("key") <= bound).select("html").mapInArrow(count, "kind string, key string, inside boolean, n long")
-    # of contexts seen on a bounded sample of pages; the 10,000 most frequent are kept
-    rows = counted.groupBy("kind", "key", "inside").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "kind", "key", "inside").limit(10_000).collect()
+    rows = counted.groupBy("kind", "key", "inside").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "kind", "key", "inside").limit(2 * p.contexts).collect()
     counts: dict[tuple[str, str], list[float]] = {}
     for r in rows:
         counts.setdefault((r.kind, r.key), [0.5, 0.5])[bool(r.inside)] += r.n

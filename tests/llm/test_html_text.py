@@ -2,10 +2,11 @@
 
 import html
 import re
+import time
 
 import pytest
 
-from corvane.llm.html_text import Weights, _labelled, extract, learn, main_text, op9_main_text, parse
+from corvane.llm.html_text import HtmlText, Weights, _labelled, extract, learn, main_text, op9_main_text, parse
 
 
 def article(page):
@@ -96,3 +97,46 @@ KEPT = {
 def test_names_of_elements(name):
     page, want = KEPT[name]
     assert extract(page, Weights()) == want
+
+
+def plain(page):
+    """The same page without tags and names that tell an article from what is around it."""
+    page = re.sub(r"<(/?)(?:nav|footer|article)\b[^>]*>", r"<\1div>", page)
+    return page.replace('<div class="ad">', "<div>")
+
+
+def test_the_scan_and_what_was_learned_decide(spark):
+    """On pages that say nothing about their parts: right with both, wrong without either."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = learn(pages)
+    htmls = [r.html for r in pages.collect()]
+    want = [article(x) for x in htmls]
+    assert [extract(plain(x), weights) for x in htmls] == want
+    whole = lambda parts, w: (0, len(parts) - 1)
+    assert not any(extract(plain(x), weights, whole) == t for x, t in zip(htmls, want, strict=True))
+    assert not any(extract(plain(x), Weights()) == t for x, t in zip(htmls, want, strict=True))
+    few = learn(pages, HtmlText(contexts=1))
+    assert len(few.words) + len(few.tags) <= 2
+
+
+BARE = {
+    "around": (f"<body><div><a>Home</a> <a>News</a> <a>All</a></div><h1>T</h1><p>{TEXT}</p><p>End.</p><div><a>Imprint</a> <a>Privacy</a></div></body>", f"T\n\n{TEXT}\n\nEnd."),
+    "parts of blocks": (f"<body><ul><li><a>One</a></li><li><a>Two</a></li></ul><div>{TEXT} <a>link</a> more.</div><ul><li><a>Three</a></li><li><a>Four</a></li></ul></body>", f"{TEXT} link more."),
+    "unlike the labelled": (f"<body><div><a>x</a></div><div><div>{TEXT}</div><div>{TEXT}</div></div></body>", f"{TEXT}\n\n{TEXT}"),
+}
+
+
+@pytest.mark.parametrize("name", BARE)
+def test_pages_without_articles(name):
+    page, want = BARE[name]
+    assert extract(page, Weights()) == want
+    assert extract(page, Weights({"article": 4.0, "<div>": -4.0, "a": -4.0}, {"div": -4.0, "/div": -4.0})) == want
+
+
+def test_unclosed_tags_take_linear_time():
+    n = 60_000
+    for page in ("<a " * n, "<a '" + "<a " * n + "' x>", '<a "' * n, "<a <b " * n + ">", "</a " * n, "<!x" * n, "<script x" * n, "<p>" + "<a title='x" * n):
+        start = time.perf_counter()
+        extract(page, Weights())
+        assert time.perf_counter() - start < 5
+    assert extract(f"<article><p>{TEXT} <a href=x <b>bold</b> x < y <p>z</article>", Weights()) == f"{TEXT} bold x < y\n\nz"
