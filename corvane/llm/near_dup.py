@@ -50,6 +50,7 @@ class NearDup:
     sigmas: float = 5.0
     block_rows: int = 1024
     block_shingles: int = 1_000_000
+    exact_rows: int = 256  # of a block of full sets in the first round
     late_rows: int = 16_384  # of a block in the second round of sketches, where each block meets all others
 
     @property
@@ -256,8 +257,9 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
     weight = F.col("n") if exact else F.lit(1)
     m = cut(members.join(payloads.select("id", "n"), "id"))
     total = m.count()
+    blocks = F.greatest(F.ceil(F.col("weight") / p.block_shingles), F.ceil(F.col("rows") / p.exact_rows)) if exact else F.ceil(F.col("weight") / p.block_rows)
     groups = m.groupBy("grp").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.min("id").alias("leader")).filter("rows > 1")
-    groups = cut(groups.select("grp", "rows", "leader", F.ceil(F.col("weight") / (p.block_shingles if exact else p.block_rows)).cast("int").alias("blocks")))
+    groups = cut(groups.select("grp", "rows", "leader", blocks.cast("int").alias("blocks")))
     m = cut(attach(m, groups, "grp", total, "rows"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     first = m.select("grp", "id", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("t2"))
