@@ -1,11 +1,14 @@
 """Quality rules in built-in functions alone, with cutoffs chosen under a proven risk.
 
-A rule rejects a document when a feature exceeds a cutoff. For each stratum and rule, cutoffs of a fixed grid are
-tested from the most lenient on: the null hypothesis "this cutoff rejects more than `risk` of the good documents" is
-dismissed when the exact binomial tail P(Bin(n, risk) <= k) is at most the error level, n and k being the good
-labelled documents and those of them that it rejects. Testing stops at the first cutoff that fails (fixed-sequence
-testing needs no correction along the grid); the level is divided by the number of rules and strata (Bonferroni), and
-the risk by the number of rules, since a document goes if any rule rejects it.
+A rule rejects a document when a feature exceeds a cutoff, and a document goes if any rule rejects it. For each stratum, sets of
+cutoffs are tested in a fixed order: all rules together go down a fixed grid from the most lenient cutoff on, one rule a
+step, so that each set rejects whatever the one before does. The null hypothesis "this set rejects more than `risk` of the good
+documents" is dismissed when the exact binomial tail P(Bin(n, risk) <= k) is at most the stratum's error level, n and k being
+the good labelled documents and those of them that the set rejects. Testing stops at the first set that fails:
+fixed-sequence testing needs no correction along the steps, and as it is whole sets that are tested, neither level nor risk is
+shared among the rules. Among the strata the level is shared by their numbers of labelled documents (weighted
+Bonferroni). Within the last set that passed, any more lenient cutoff or fewer rules reject less and are as safe: of those, each
+rule takes the cutoff that gains most.
 
 All labelled documents count. What leaves the corpus is a histogram of (stratum, rule, grid step, label).
 """
@@ -26,7 +29,7 @@ GRID = (5, 10, 20, 50, 100, 200, 300, 400, 500, 600, 700, 800, 900)
 
 @dataclass(frozen=True)
 class Quality:
-    """At most `risk` of the good documents of a stratum are rejected, with confidence 1 - `error` for all strata.
+    """At most `risk` of the good documents of a stratum are rejected by its cutoffs, with confidence 1 - `error` for all strata.
 
     max_strata bounds the strata whose cutoffs go into the plan as literals; with more of them, the cutoffs are joined.
     """
@@ -49,6 +52,8 @@ def _rules(f: Column) -> dict[str, Column]:
 
 
 RULES = ("symbols", "repeats", "lines", "bangs")
+#: The histogram's name for all rules together, and the number of sets that are tested.
+SET, STEPS = "all of them", len(GRID) * len(RULES)
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -114,44 +119,75 @@ def _tail(n: Column, k: Column, risk: float) -> Column:
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_good_rejected, n_bad_rejected, tail) of the cutoffs that are proven to be safe.
+    """(stratum, rule, cutoff, n_good, n_good_rejected, n_bad_rejected, tail) of the cutoffs that are proven to be safe; see cutoffs_of()."""
+    stratum = [p.stratum] if p.stratum in docs.columns else []
+    return cutoffs_of(with_features(docs.select(id_col, *stratum, text_col), "f", text_col), labels, p, id_col, "f")
 
-    A safe cutoff that rejects no more bad documents than good ones isn't used, and a rule without another has no row; of cutoffs
-    that catch as many bad documents the most lenient is taken. A label table that names a document twice counts it once, as bad if either says so. Labels
+
+def _stratum(df: DataFrame, p: Quality) -> Column:
+    return F.col(p.stratum).cast("string") if p.stratum in df.columns else F.lit("all")
+
+
+def cutoffs_of(featured: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", out: str = "quality") -> DataFrame:
+    """cutoffs() of a table that has its features already, in the column `out`.
+
+    The counts are those of the rule by itself, the tail that of the whole set which was proven safe. A cutoff that rejects no more bad documents
+    than good ones isn't used, and a rule without another has no row; of cutoffs that gain as much (bad ones less good ones) the
+    most lenient is taken. A label table that names a document twice counts it once, as bad if either says so. Labels
     other than 0 and 1 and null ids are left out; a null stratum is a stratum of its own.
     """
     truth = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("good")).filter("good in (0, 1) and id is not null").groupBy("id").agg(F.min("good").alias("good"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(p.stratum).cast("string").alias("stratum") if p.stratum in docs.columns else F.lit("all").alias("stratum"), F.col(text_col).alias("text"))
-    rows = with_features(rows, "f").filter(~base_failed(F.col("f"))).select("id", "stratum", *[v.cast("long").alias(k) for k, v in _rules(F.col("f")).items()])
+    f = F.col(out)
+    rows = featured.filter(~base_failed(f)).select(F.col(id_col).cast("long").alias("id"), _stratum(featured, p).alias("stratum"), *[v.cast("long").alias(k) for k, v in _rules(f).items()])
     rows = rows.join(truth, "id")
-    steps = F.array(*[F.struct(F.lit(k).alias("rule"), sum((F.when(F.col(k) > c, 1).otherwise(0) for c in GRID), F.lit(0)).alias("step")) for k in RULES])
+    # a document of step s is rejected by a rule's s most severe cutoffs: those at grid places 0 to s-1
+    step = {k: sum((F.when(F.col(k) > c, 1).otherwise(0) for c in GRID), F.lit(0)) for k in RULES}
+    # and of the sets from the one that adds the most lenient of these cutoffs on; STEPS if from none
+    first = F.least(*[F.when(s > 0, (len(GRID) - s) * len(RULES) + r).otherwise(STEPS) for r, s in enumerate(step.values())])
+    steps = F.array(*[F.struct(F.lit(k).alias("rule"), s.alias("step")) for k, s in step.items()], F.struct(F.lit(SET).alias("rule"), first.alias("step")))
     bins = rows.select("stratum", "good", F.explode(steps).alias("x")).groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.step").alias("step")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    # a document of step s is rejected by the s most severe cutoffs: those at grid places 0 to s-1
-    places = F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("place")
-    tested = bins.select("stratum", "rule", "step", "good", "bad", places).groupBy("stratum", "rule", "place").agg(
+    bins = cut(bins)  # a row per stratum, rule and step
+
+    sets = bins.filter(F.col("rule") == SET)
+    labelled = sets.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0
+    tested = sets.select("stratum", "step", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("place")).groupBy("stratum", "place").agg(
+        F.sum("good").alias("n_good"),
+        F.sum(F.when(F.col("step") <= F.col("place"), F.col("good")).otherwise(0)).alias("rejected"),
+        F.sum(F.col("good") + F.col("bad")).alias("n"),
+    )
+    tested = tested.withColumn("tail", _tail(F.col("n_good"), F.col("rejected"), p.risk))
+    passed = F.col("tail") <= F.lit(p.error) * F.col("n") / F.lit(max(1, labelled))
+    lenient_first = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # STEPS rows
+    safe = tested.withColumn("safe", F.min(passed.cast("int")).over(lenient_first)).filter("safe = 1")
+    safe = safe.groupBy("stratum").agg(F.max("place").alias("last"), F.max_by("tail", "place").alias("tail"))
+
+    single = bins.filter(F.col("rule") != SET).select("stratum", "rule", "step", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("place"))
+    single = single.groupBy("stratum", "rule", "place").agg(
         F.sum("good").alias("n_good"),
         F.sum(F.when(F.col("step") > F.col("place"), F.col("good")).otherwise(0)).alias("n_good_rejected"),
         F.sum(F.when(F.col("step") > F.col("place"), F.col("bad")).otherwise(0)).alias("n_bad_rejected"),
     )
-    tested = cut(tested)  # a row per stratum, rule and grid step
-    strata = tested.select("stratum").distinct().count()
-    tested = tested.withColumn("tail", _tail(F.col("n_good"), F.col("n_good_rejected"), p.risk / len(RULES)))
-    passed = F.col("tail") <= F.lit(p.error / len(RULES) / max(1, strata))
-    lenient_first = Window.partitionBy("stratum", "rule").orderBy(F.col("place").desc())  # as many rows as the grid
-    safe = tested.withColumn("safe", F.min(passed.cast("int")).over(lenient_first.rowsBetween(Window.unboundedPreceding, 0))).filter("safe = 1 and n_bad_rejected > n_good_rejected")
-    best = safe.groupBy("stratum", "rule").agg(F.max_by(F.struct("place", "n_good", "n_good_rejected", "n_bad_rejected", "tail"), F.struct("n_bad_rejected", "place")).alias("x"))
+    number = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule")) - 1
+    single = single.withColumn("from", (len(GRID) - 1 - F.col("place")) * len(RULES) + number).join(safe.withColumnRenamed("stratum", "of"), F.col("stratum").eqNullSafe(F.col("of")))
+    best = single.filter("`from` <= last and n_bad_rejected > n_good_rejected").groupBy("stratum", "rule").agg(
+        F.max_by(F.struct("place", "n_good", "n_good_rejected", "n_bad_rejected", "tail"), F.struct(F.col("n_bad_rejected") - F.col("n_good_rejected"), F.col("place"))).alias("x")
+    )
     return best.select("stratum", "rule", F.element_at(F.array(*map(F.lit, GRID)), F.col("x.place") + 1).alias("cutoff"), "x.n_good", "x.n_good_rejected", "x.n_bad_rejected", "x.tail")
 
 
 def judge(docs: DataFrame, chosen: DataFrame, p: Quality = Quality(), text_col: str = "text", out: str = "quality") -> DataFrame:
-    """docs with the struct `out` of FEATURES, base_failed and kept.
+    """docs with the struct `out` of FEATURES, base_failed and kept."""
+    return judged(with_features(docs, out, text_col), chosen, p, out)
+
+
+def judged(d: DataFrame, chosen: DataFrame, p: Quality = Quality(), out: str = "quality") -> DataFrame:
+    """judge() of a table that has its features already, in the column `out`.
 
     A stratum that has cutoffs has at least log(error)/log(1-risk) labelled documents, and a row of `chosen` for each rule at
     most; up to max_strata of them become literals of the plan.
     """
-    d = with_features(docs, out, text_col)
     f, rules = F.col(out), _rules(F.col(out))
-    stratum = F.col(p.stratum).cast("string") if p.stratum in docs.columns else F.lit("all")
+    stratum = _stratum(d, p)
     rows = chosen.select("stratum", "rule", "cutoff").limit(p.max_strata * len(RULES) + 1).collect()
     if len(rows) <= p.max_strata * len(RULES):
         broken = F.lit(False)
@@ -170,10 +206,22 @@ def judge(docs: DataFrame, chosen: DataFrame, p: Quality = Quality(), text_col:
     return d.withColumn(out, F.struct(*[f[k].alias(k) for k in FEATURES], failed.alias("base_failed"), (~failed & ~broken).alias("kept"))).drop(*extra)
 
 
+def passing(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the base rules and the cutoffs from `labels` keep.
+
+    The documents are stored once with their features, which cost more than to write and read them.
+    """
+    out = free_name(docs, "quality")
+    featured = cut(with_features(docs, out, text_col))
+    kept = judged(featured, cutoffs_of(featured, labels, p, id_col, out), p, out).filter(F.col(out)["kept"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and the verdict of every document; cutoffs from all labels."""
+    """Base counts and the verdict of every document; cutoffs from all labels. Features are computed once and stored without the texts."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    d = judge(docs.select("doc_id", "lang", "text"), cutoffs(docs, labels))
+    featured = cut(with_features(docs.select("doc_id", "lang", "text")).drop("text"))
+    d = judged(featured, cutoffs_of(featured, labels))
     q = F.col("quality")
     return d.select("doc_id", *[q[k].alias(k) for k in FEATURES[:5]], q["base_failed"].alias("base_failed"), q["kept"].alias("kept"))
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.quality import RULES, Quality, _tail, cutoffs, judge, op4_quality, with_features
+from corvane.llm.quality import GRID, RULES, Quality, _tail, cutoffs, judge, op4_quality, passing, with_features
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +61,76 @@ def test_cutoffs_keep_good_documents_and_cut_bad_ones(spark):
     joined = {r.doc_id: r.quality.kept for r in judge(docs, chosen, Quality(max_strata=0)).collect()}
     assert joined == kept
     assert cutoffs(docs, labels.limit(0)).collect() == [] and len(RULES) == 4
+
+
+def rule_values(text):
+    n = max(1, counts(text)[0])
+    c = counts(text)
+    return {"symbols": 1000 * c[2] // n, "repeats": 1000 * c[4] // n, "lines": 10000 * c[3] // n, "bangs": 1000 * (text or "").count("!") // n}
+
+
+def base(text):
+    c = counts(text)
+    return c[0] < 10 or 100 * c[4] > 20 * c[0]
+
+
+def chosen_by_loops(docs, labels, risk, error):
+    """{(stratum, rule): cutoff}: sets of cutoffs one after another, each with its binomial tail in exact sums."""
+    good = {}
+    for i, q in labels:
+        if i is not None and q in (0, 1):
+            good[i] = min(q, good.get(i, 1))
+    rows = [(lang, rule_values(text), good[i]) for i, lang, text in docs if i in good and not base(text)]
+    out = {}
+    for stratum in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == stratum]
+        level = error * len(own) / len(rows)
+        n = sum(q for _, _, q in own)
+        limits, safe = {}, {}
+        for c in reversed(GRID):
+            stop = False
+            for rule in RULES:
+                limits[rule] = c
+                k = sum(q for _, v, q in own if any(v[x] > y for x, y in limits.items()))
+                tail = 1.0 if k >= n * risk else sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+                if tail > level:
+                    stop = True
+                    break
+                safe.setdefault(rule, []).append(c)
+            if stop:
+                break
+        for rule, cs in safe.items():
+            gain = [(sum(1 - q for _, v, q in own if v[rule] > c) - sum(q for _, v, q in own if v[rule] > c), c) for c in cs]
+            best = max(gain)
+            if best[0] > 0:
+                out[stratum, rule] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("sf, risk, error", [("0.01", 0.02, 0.05), ("0.01", 0.1, 0.2), ("0.1", 0.02, 0.05)])
+def test_verdicts_are_those_of_plain_loops(spark, sf, risk, error):
+    d = f"/root/testdata/sf{sf}"
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+    docs = [(r.doc_id, r.lang, r.text) for r in table.collect()]
+    want = chosen_by_loops(docs, labels, risk, error)
+    p = Quality(risk=risk, error=error)
+    got = {(r.stratum, r.rule): r.cutoff for r in cutoffs(table, spark.read.parquet(f"{d}/labels.parquet"), p).collect()}
+    assert got == want
+    if risk == 0.02:
+        assert want  # the method decides something at this size
+        values = {i: (lang, text) for i, lang, text in docs}
+        kept = {r.doc_id: r.kept for r in op4_quality(spark, d).collect()}
+        for i, (lang, text) in values.items():
+            v = rule_values(text)
+            assert kept[i] == (not base(text) and not any(v[rule] > c for (s, rule), c in want.items() if s == lang)), i
+
+
+def test_passing_keeps_rows_and_columns(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, good, "q", "en"), (1, good, "q", "en"), (2, None, "q", None), (3, "", "q", "en"), (None, good, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, lang string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = passing(docs, labels)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
+    assert passing(docs.limit(0), labels).collect() == [] and passing(docs, labels.limit(0)).count() == 3
