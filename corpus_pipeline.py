@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, mixing, near_dup, quality, sharding
-from corvane.llm.common import free_name, shared_path, table
+from corvane.llm.common import shared_path, table
 
 #: Near-duplicate stages of the pipeline go by five words and a similarity of 0.8.
 NEAR = near_dup.NearDup(shingle=5, percent=80)
@@ -24,9 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null, empty or very short text fails the base rules. Rows are judged one by one, so repeated rows and ids go or stay alike;
     an empty table stays empty, and any other columns stay as they are.
     """
-    chosen = quality.cutoffs(docs, table(spark, sf_dir, "labels"))
-    verdict = free_name(docs, "quality")
-    return quality.judge(docs, chosen, out=verdict).filter(F.col(verdict)["kept"]).select(*_columns(docs))
+    return quality.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +56,6 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-def _columns(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_rules),
     ("near_dedup", near_dedup),
