@@ -1,14 +1,16 @@
 """Benchmark decontamination: n-gram seeds find candidate passages, local alignment scores them.
 
-1. Every n-gram of a benchmark item is a seed, however many documents have it: an edited copy may keep just the grams that
-   others keep too, in one document as in a third of all.
+1. Every n-gram of a benchmark item is a seed, in a row and with a word between left out, however many documents have it: an
+   edited copy may keep just the grams that others keep too, in one document as in a third of all. Documents are cut into grams in the same two
+   ways, so words that were replaced, dropped or added one at a time leave seeds.
 2. A document that has a seed is a candidate for the seed's item. Candidates with too few of the item's words to reach the
    score are passed over; that bound is exact, so frequent grams cost a look-up and no result.
 3. Smith-Waterman over words aligns the item with the passages around the seeds, so replaced, dropped and added words cost
    little; documents whose best score reaches a share of the perfect score are contaminated.
 
-A copy that keeps no n words of the item in a row has no seed. One scan of the texts for a block of items, without a shuffle.
-Seeds are sent to the workers in blocks of bounded size: a benchmark of any size is handled block by block.
+A copy that keeps no n words of the item with at most one other word between them has no seed, though it may still reach the score (README
+has figures). Items of fewer than n + 1 words are only found where they stand unchanged. One scan of the texts for a block of items,
+without a shuffle. Seeds are sent to the workers in blocks of bounded size: a benchmark of any size is handled block by block.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, slices, span_hashes, table, utf8, word_spans
+from .common import constants, mix, slices, span_hashes, table, utf8, word_spans
 
 #: Bytes that separate words: all of ASCII but letters and digits. Other punctuation is blanked beforehand.
 SEPARATORS = np.array([not (48 <= b < 58 or 97 <= b < 123 or b >= 128) for b in range(256)])
@@ -70,12 +72,31 @@ class Items:
     """A block of benchmark items: words of each, and all n-grams, sorted, with the items that have them.
 
     grams[k] belongs to the items owners[first[k]:first[k+1]]. Items of fewer than n words have one shorter gram, found
-    by its own length.
+    by its own length. maybe: by the top bits of a hash, whether some gram has them.
     """
 
     ids: np.ndarray
     words: list[np.ndarray]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _shapes(n: int) -> list[tuple[int, ...]]:
+    """Places of the words of a gram: in a row, and with one word left out at each place between. Short grams only in a row."""
+    row = tuple(range(n))
+    return [row] + [tuple(k + (k >= gap) for k in row) for gap in range(1, n) if n >= 4]
+
+
+def _grams(words: np.ndarray, rows: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """ngram_hashes() for words at some places: the same words in the same order have the same hash, whatever the shape."""
+    n, span = len(shape), shape[-1] + 1
+    if len(words) < span:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    c, m = constants(n, 17 * n), len(words) - span + 1
+    h = np.zeros(m, np.uint64)
+    for k, place in enumerate(shape):
+        h += words[place : place + m] * c[k]
+    at = np.flatnonzero(rows[:m] == rows[span - 1 :])
+    return mix(h[at] + np.uint64(n)), at
 
 
 def items_block(rows: list[Row], p: Decontamination) -> Items:
@@ -89,7 +110,7 @@ def items_block(rows: list[Row], p: Decontamination) -> Items:
     for k, w in enumerate(words):
         length = min(p.n, len(w))
         if length:
-            grams, _ = ngram_hashes(w, np.zeros(len(w), np.int64), length)
+            grams = np.concatenate([_grams(w, np.zeros(len(w), np.int64), shape)[0] for shape in _shapes(length)])
             found.setdefault(length, []).extend((int(g), k) for g in np.unique(grams))
     by_length = {}
     for length, pairs in found.items():
@@ -99,15 +120,21 @@ def items_block(rows: list[Row], p: Decontamination) -> Items:
             order = np.lexsort((owners, grams))
             grams, owners = grams[order], owners[order]
             unique, first = np.unique(grams, return_index=True)
-            by_length[length] = (unique, np.append(first, len(grams)), owners)
+            bits = min(26, max(10, (16 * len(unique)).bit_length()))
+            maybe = np.zeros(1 << bits, bool)
+            maybe[unique >> np.uint64(64 - bits)] = True
+            by_length[length] = (unique, np.append(first, len(grams)), owners, maybe)
     return Items(ids, words, by_length)
 
 
 def _hits(words: np.ndarray, rows: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
     """Per gram length: row, place of the first word and gram index of each hit; length; first and owners of the block."""
-    for length, (grams, first, owners) in items.by_length.items():
-        hashes, at = ngram_hashes(words, rows, length)
-        if len(hashes):
+    for length, (grams, first, owners, maybe) in items.by_length.items():
+        shift = np.uint64(65 - len(maybe).bit_length())
+        for shape in _shapes(length):
+            hashes, at = _grams(words, rows, shape)
+            some = np.flatnonzero(maybe[hashes >> shift])
+            hashes, at = hashes[some], at[some]
             k = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
             hit = np.flatnonzero(grams[k] == hashes)
             if len(hit):

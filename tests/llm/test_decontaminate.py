@@ -98,3 +98,41 @@ def test_one_edited_copy_in_many_documents(spark, times):
                 want[d, i] = s
     got = leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert len(want) == times + 1 and {(r.id, r.item_id): r.score for r in got.collect()} == want
+
+
+def edits(rng, w, kind, step):
+    out = []
+    for k, x in enumerate(w):
+        hit = k % step == step - 1 if kind != "random" else rng.random() < step / 100
+        if not hit:
+            out.append(x)
+        elif kind == "added":
+            out += [x, f"more{k}"]
+        elif kind in ("replaced", "random"):
+            out.append(f"other{k}")
+    return out
+
+
+EDITS = [("replaced", 3), ("replaced", 4), ("replaced", 5), ("dropped", 3), ("dropped", 4), ("added", 2), ("added", 3), ("random", 10), ("random", 20), ("random", 30)]
+
+
+def test_recall_of_edited_copies(spark):
+    """Spread edits of each kind: whatever the alignment accepts over the whole text is found."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(40)]
+    rows, wanted = [], {}
+    for kind, step in EDITS:
+        for i, text in items:
+            d = len(rows)
+            body = [rng.choice(vocabulary) for _ in range(60)]
+            body[30:30] = edits(rng, text.split(), kind, step)
+            rows.append((d, " ".join(body)))
+            if smith_waterman(words(text), body) >= 40:
+                wanted[d, i] = kind, step
+    got = {(r.id, r.item_id) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    lost = {}
+    for key, kind in wanted.items():
+        lost[kind] = lost.get(kind, 0) + (key not in got)
+    assert len(wanted) > 330 and {k for _, k in got - wanted.keys()} == set()
+    assert sum(lost.values()) == 0, lost
