@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +53,27 @@ def source_url(base: Column, file_path: Column, line: Column) -> Column:
 
 
 def py_round(x: Column, digits: int) -> Column:
-    """Half to even on the decimal rendering."""
-    return F.bround(x, digits)
+    """round(x, digits) of Python for up to 6 digits: half to even on the binary value, so that 2.675, which is a bit less, gives 2.67.
+
+    bround() goes by the decimal rendering. Here the part behind the point is an integer in units of 2^-62 (of 2^-73 below 2^-10), which
+    hold all of its bits, and the rest is exact arithmetic.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    small = size < 2.0**-10
+    fine = (size - whole) * F.when(small, 2.0**73).otherwise(2.0**62)
+    ten, half = 10**digits, F.when(small, F.lit(Decimal(1 << 72)).cast("decimal(23,0)")).otherwise(F.lit(1 << 61).cast("decimal(23,0)"))
+    scaled = F.floor(fine).cast("decimal(38,0)") * F.lit(ten).cast("decimal(7,0)")
+    scaled = scaled.cast("decimal(38,0)")
+    up = F.floor(scaled / (half * 2).cast("decimal(24,0)")).cast("decimal(8,0)")
+    rest = (scaled - up * (half * 2).cast("decimal(24,0)")).cast("decimal(38,0)")
+    below = (whole.cast("decimal(20,0)") * F.lit(ten).cast("decimal(7,0)")).cast("decimal(38,0)") + up
+    odd = (below % 2) == 1
+    more = (rest > half) | ((rest == half) & (odd | (fine != F.floor(fine))))
+    total = (below + F.when(more, 1).otherwise(0)).cast("decimal(31,0)")
+    out = (total / F.lit(ten).cast("decimal(7,0)")).cast("double")
+    return F.when(size < 2.0**52, F.when(x < 0, -out).otherwise(out)).otherwise(x)
 
 
 def size_gb(size: Column) -> Column:
@@ -67,26 +89,31 @@ def percent_change(before: Column, after: Column) -> Column:
     return F.when(before != 0, (after - before) / before * 100)
 
 
+#: What gives a query's source away, as patterns of Python's re module, in any case. They also name the leaks found.
+LEAKS: tuple[str, ...] = (
+    r"\.py\b",
+    r"\.java\b",
+    r"\.js\b",
+    r"\.ts\b",
+    r"github\.com",
+    r"gitlab\.com",
+    r"bitbucket\.org",
+    r"\brepo\d+\b",
+    r"\btest_\w+\.py\b",
+    r"\w+_test\.py\b",
+)
 _W = r"[\p{L}\p{N}_]"
-_START, _END = rf"(?<!{_W})", rf"(?!{_W})"
-#: Kinds of leaks into a query, and what gives each away. Word borders and classes are those of Python's re module.
-LEAKS: dict[str, str] = {
-    "python file": rf"{_W}+\.py{_END}",
-    "java file": rf"{_W}+\.java{_END}",
-    "script file": rf"{_W}+\.(?:js|ts){_END}",
-    "code host": r"https?://(?:www\.)?(?:github|gitlab|bitbucket)\.",
-    "host name": rf"{_START}(?:github|gitlab|bitbucket)\.(?:com|org){_END}",
-    "line anchor": r"#L\p{Nd}+",
-    "module path": rf"{_START}(?:src|lib|tests?)/{_W}+",
-    "definition": rf"{_START}def\s+{_W}+\s*\(",
-    "class statement": rf"{_START}class\s+{_W}+\s*[:(]",
-    "import statement": rf"{_START}(?:from\s+{_W}+\s+)?import\s+{_W}+",
-}
-SQL_LEAKS: dict[str, str] = {k: v.replace(_START, rf"(?:^|[^\pL\pN_])").replace(_END, rf"(?:$|[^\pL\pN_])").replace(_W, r"[\pL\pN_]").replace(r"\p{Nd}", r"\p{Nd}") for k, v in LEAKS.items()}
+
+
+def java_pattern(python: str) -> str:
+    """A pattern of the kind in LEAKS with the word borders, letters and digits of Python's re module, for Java's."""
+    out = re.sub(r"\\b(?=\\|$)", lambda m: rf"(?!{_W})" if m.end() == len(python) else m[0], python)
+    out = re.sub(r"^\\b", lambda m: rf"(?<!{_W})", out)
+    return "(?iu)" + out.replace(r"\w", _W).replace(r"\d", r"\p{Nd}")
 
 
 def leak_violations(query: Column, repository: Column, file_path: Column, symbol: Column) -> Column:
-    """Names of the leaks found: patterns in any case, then the unit's own names as they are written; empty names are skipped."""
-    found = [F.when(F.rlike(query, F.lit(f"(?iu){p}")), F.lit(k)) for k, p in LEAKS.items()]
+    """The leaks found: patterns in any case, then the unit's own names as they are written; empty names are skipped."""
+    found = [F.when(F.rlike(query, F.lit(java_pattern(p))), F.lit(p)) for p in LEAKS]
     found += [F.when((F.coalesce(c, F.lit("")) != "") & F.contains(query, c), F.lit(k)) for k, c in (("repository", repository), ("file path", file_path), ("symbol", symbol))]
     return F.filter(F.array(*found), lambda x: x.isNotNull())

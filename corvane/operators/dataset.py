@@ -85,6 +85,7 @@ def relevance_gate(score: Column) -> Column:
     return score.between(0.0, 1.0)
 
 
+#: Folders that a scan leaves out.
 EXCLUDED_DIRS = ("tests", "test", "vendor", "generated", ".git", "__pycache__", ".tox", "node_modules", ".eggs")
 
 
@@ -199,7 +200,10 @@ def split_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
-    return validate({"repository in two splits": shared_repositories(_units(spark, d))}, spark)
+    """Sources whose documents, dealt out by language, come in more than one split, beside the splits by source."""
+    split = F.when(F.col("lang") == "en", "train").when(F.col("lang") == "fr", "validation").otherwise("test")
+    by_language = _t(spark, d, "documents").select(F.col("source").alias("repository"), split.alias("split"))
+    return validate({"repository in two splits": shared_repositories(_units(spark, d)), "repository in two splits by language": shared_repositories(by_language)}, spark)
 
 
 def count_check(spark: SparkSession, d: str) -> DataFrame:
@@ -210,11 +214,13 @@ def count_check(spark: SparkSession, d: str) -> DataFrame:
     return count_consistency(totals)
 
 
+_SUFFIX = ["", " see .py files", " in repo12", " x .ts", " GitHub.comx", " def run(x)", " import os", " my_test.py", " on GITLAB.com", " bitbucket.org/a", " Main.java of src0 with a.js"]
+
+
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
-    """Queries are whole texts of documents and, by doc_id, a suffix that leaks or doesn't. The SQL looks at six words and the suffix."""
-    suffix = ["", " in utils.py", " see Main.java", " https://github.com/a/b", " on gitlab.com", " #L42", " src/core", " def run(x)", " import os", " class A:", " from src0"]
+    """Queries are whole texts of documents and, by doc_id, a suffix that leaks or doesn't."""
     docs = _t(spark, d, "documents")
-    chosen = F.element_at(F.array(*map(F.lit, suffix)), (F.col("doc_id") % len(suffix)).cast("int") + 1)
+    chosen = F.element_at(F.array(*map(F.lit, _SUFFIX)), (F.col("doc_id") % len(_SUFFIX)).cast("int") + 1)
     v = leak_columns(docs.select("doc_id", "source", F.concat("text", chosen).alias("query")))
     return v.select("doc_id", F.array_join("violations", ",").alias("violations"), (F.size("violations") == 0).alias("passed"))
 
@@ -228,9 +234,12 @@ def unit_ids(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", X.unit_id(F.lit("web"), F.col("url"), F.concat(F.lit("page."), F.col("page_id").cast("string")), F.col("h")).alias("unit_id"), X.candidate_id(F.col("h")).alias("candidate_id"), X.source_url(F.lit("https://host/"), F.col("url"), F.col("page_id")).alias("source_url"))
 
 
+_TAILS = ["/test_a.py", "/b.py", "/tests/c.py", "/tests.py", "/a.egg-info/x.py", "/_private.py", "/__init__.py", "/x_test.py", "/vendored/y.py", "/z.pyc", "/vendor/y.py"]
+
+
 def path_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Page paths as file paths: which of them a scan would take, and their order."""
-    path = F.concat(F.regexp_replace("url", r"^[a-z]+://|[?#].*$", ""), F.when(F.col("page_id") % 3 == 0, "/test_a.py").when(F.col("page_id") % 3 == 1, "/b.py").otherwise("/tests/c.py"))
+    """Page paths, with the ends of source files, as file paths: which of them a scan would take, and whether their names are public."""
+    path = F.concat(F.regexp_replace("url", r"^[a-z]+://|[?#].*$", ""), F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("page_id") % len(_TAILS)).cast("int") + 1))
     p = _t(spark, d, "pages").select("page_id", path.alias("path"))
     return p.select("page_id", "path", path_allowed(F.col("path")).alias("allowed"), public_name(F.regexp_extract("path", "([^/]*)$", 1)).alias("public"))
 
@@ -318,7 +327,17 @@ _HASH = f"sha256({_strip('text')})"
 _LINES = rf"len(list_filter(string_split_regex(text, '{_LB}'), lambda x: {_strip('x')} <> ''))"
 _WORDS = rf"len(list_filter(string_split_regex(text, '{_SP}+'), lambda x: x <> ''))"
 _SPLIT = "CASE WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 < 2 THEN 'train' WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 = 2 THEN 'validation' ELSE 'test' END"
-_leaks = ", ".join(f"CASE WHEN regexp_matches(query, '(?i){p}') THEN '{k}' END" for k, p in X.SQL_LEAKS.items())
+# the same in RE2, whose \\b and \\w know ASCII alone
+_leaks = """CASE WHEN regexp_matches(query, '(?i)\\.py(?:$|[^\\pL\\pN_])') THEN '\\.py\\b' END,
+        CASE WHEN regexp_matches(query, '(?i)\\.java(?:$|[^\\pL\\pN_])') THEN '\\.java\\b' END,
+        CASE WHEN regexp_matches(query, '(?i)\\.js(?:$|[^\\pL\\pN_])') THEN '\\.js\\b' END,
+        CASE WHEN regexp_matches(query, '(?i)\\.ts(?:$|[^\\pL\\pN_])') THEN '\\.ts\\b' END,
+        CASE WHEN contains(lower(query), 'github.com') THEN 'github\\.com' END,
+        CASE WHEN contains(lower(query), 'gitlab.com') THEN 'gitlab\\.com' END,
+        CASE WHEN contains(lower(query), 'bitbucket.org') THEN 'bitbucket\\.org' END,
+        CASE WHEN regexp_matches(query, '(?i)(?:^|[^\\pL\\pN_])repo\\p{Nd}+(?:$|[^\\pL\\pN_])') THEN '\\brepo\\d+\\b' END,
+        CASE WHEN regexp_matches(query, '(?i)(?:^|[^\\pL\\pN_])test_[\\pL\\pN_]+\\.py(?:$|[^\\pL\\pN_])') THEN '\\btest_\\w+\\.py\\b' END,
+        CASE WHEN regexp_matches(query, '(?i)[\\pL\\pN_]_test\\.py(?:$|[^\\pL\\pN_])') THEN '\\w+_test\\.py\\b' END"""
 
 ORACLE = {
     "content_dedup": f"SELECT {_HASH} AS content_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY 1",
@@ -328,16 +347,19 @@ ORACLE = {
     "label_gate": f"SELECT doc_id, {_WORDS} AS n_words, {_WORDS} BETWEEN 20 AND 256 AND lang <> source AS passes FROM documents",
     "split_assign": f"SELECT doc_id, source AS repository, {_SPLIT} AS split FROM documents",
     "split_stats": f"SELECT s.split, count(d.doc_id) AS units, count(DISTINCT d.source) AS repositories FROM (VALUES ('train'), ('validation'), ('test')) s(split) LEFT JOIN (SELECT *, {_SPLIT} AS split FROM documents) d ON d.split = s.split GROUP BY 1",
-    "split_disjoint": f"SELECT 'repository in two splits' AS \"check\", count(*) AS violations FROM (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT {_SPLIT}) > 1)",
+    "split_disjoint": f"""SELECT 'repository in two splits' AS "check", count(*) AS violations FROM (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT {_SPLIT}) > 1)
+        UNION ALL SELECT 'repository in two splits by language', count(*) FROM (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT CASE WHEN lang = 'en' THEN 1 WHEN lang = 'fr' THEN 2 ELSE 3 END) > 1)""",
     "count_check": f"""WITH k AS (SELECT {_HASH} AS h, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY 1), t AS (SELECT CAST(sum(copies) AS BIGINT) AS extracted, CAST(sum(copies - 1) AS BIGINT) AS duplicates, count(*) AS total,
         count(*) FILTER ({_SPLIT} = 'train') AS train, count(*) FILTER ({_SPLIT} = 'validation') AS validation, count(*) FILTER ({_SPLIT} = 'test') AS test FROM k)
         SELECT *, total = train + validation + test AS splits_add_up, extracted = 0 OR extracted - duplicates = total AS extraction_adds_up FROM t""",
-    "leakage_check": f"""WITH q AS (SELECT doc_id, source, array_to_string(string_split(text, ' ')[1:6], ' ') || (['', ' in utils.py', ' see Main.java', ' https://github.com/a/b', ' on gitlab.com', ' #L42', ' src/core', ' def run(x)', ' import os', ' class A:', ' from src0'])[doc_id % 11 + 1] AS query FROM documents),
+    "leakage_check": f"""WITH q AS (SELECT doc_id, source, text || ({_SUFFIX!r})[doc_id % 11 + 1] AS query FROM documents),
         v AS (SELECT doc_id, list_filter([{_leaks}, CASE WHEN contains(query, source) THEN 'repository' END, CASE WHEN contains(query, 'core') THEN 'symbol' END], lambda x: x IS NOT NULL) AS v FROM q)
         SELECT doc_id, array_to_string(v, ',') AS violations, len(v) = 0 AS passed FROM v""",
     "unit_ids": f"SELECT page_id, 'web_py_' || translate(url, '\\/.', '___') || '__page_' || page_id || '_' || substr(sha256({_strip('html')}), 1, 12) AS unit_id, 'candidate_' || sha256({_strip('html')}) AS candidate_id, 'https://host/blob/main/' || url || '#L' || page_id AS source_url FROM pages",
-    "path_filter": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') || CASE page_id % 3 WHEN 0 THEN '/test_a.py' WHEN 1 THEN '/b.py' ELSE '/tests/c.py' END AS path FROM pages)
-        SELECT page_id, path, page_id % 3 = 1 AND NOT regexp_matches('/' || path, '/(tests|test|vendor|generated|\.git|__pycache__|\.tox|node_modules|\.eggs|[^/]*\.egg-info)/') AS allowed, true AS public FROM p""",
+    "path_filter": rf"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') || ({_TAILS!r})[page_id % {len(_TAILS)} + 1] AS path FROM pages),
+        n AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[1:-2] AS folders FROM p)
+        SELECT page_id, path, suffix(name, '.py') AND NOT prefix(name, 'test_') AND NOT suffix(name, '_test.py') AND NOT list_has_any(folders, ['tests', 'test', 'vendor', 'generated', '.git', '__pycache__', '.tox', 'node_modules', '.eggs'])
+        AND len(list_filter(folders, lambda x: suffix(x, '.egg-info'))) = 0 AS allowed, NOT prefix(name, '_') OR prefix(name, '__') AS public FROM n""",
     "pending_units": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "verbatim_subset": "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "seed_selection": "SELECT doc_id, lang FROM documents ORDER BY sha256('42:' || doc_id), doc_id LIMIT 45",

@@ -78,7 +78,7 @@ def test_audit(spark):
     made = generate.generate(asked, factory)
     got = {r.code_unit_id: r for r in audit_records(made, units).collect()}
     assert got["u1"].success and got["u1"].query == "sum of two numbers" and got["u1"].candidate_id == "candidate_u1" and got["u1"].failure_category is None
-    assert not got["u2"].success and got["u2"].query == "" and got["u2"].failure_category == "leakage" and got["u2"].validation_passed and {"repository", "file path", "python file"} <= set(got["u2"].leakage_violations) and got["u2"].attempt_count == 1
+    assert not got["u2"].success and got["u2"].query == "" and got["u2"].failure_category == "leakage" and got["u2"].validation_passed and {"repository", "file path", r"\.py\b"} <= set(got["u2"].leakage_violations) and got["u2"].attempt_count == 1
     assert got["u3"].failure_category == "missing_field" and got["u3"].attempt_count == 3
     assert got["u4"].failure_category == "provider_or_model_error" and got["u4"].attempt_count == 1
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators.dataset import leakage_check
+from corvane.operators.dataset import _SUFFIX, leakage_check
 
 
 def test_parity(spark):
@@ -23,12 +23,25 @@ def test_parity(spark):
 
 
 def test_leaks(spark):
-    cases = [("nothing here", []), ("open Utils.PY now", ["python file"]), ("a.pyé", []), ("HTTPS://GitHub.com/a", ["code host", "host name"]), ("in core", ["symbol"]), ("CORE", []), ("line #l12", ["line anchor"])]
+    cases = [
+        ("nothing here", []), ("see .PY files", [r"\.py\b"]), ("a.py\u00e9", []), ("GitHub.comx", [r"github\.com"]), ("x .ts", [r"\.ts\b"]), ("in repo12", [r"\brepo\d+\b"]), ("repo12a xrepo1 repo_1", []),
+        ("def f( import os class A: src/x #L4", []), ("in core", ["symbol"]), ("CORE", []), ("my_test.py", [r"\.py\b", r"\w+_test\.py\b"]), ("test_a.py", [r"\.py\b", r"\btest_\w+\.py\b"]), ("BITBUCKET.org gitlab.com", [r"gitlab\.com", r"bitbucket\.org"]),
+    ]
     df = spark.createDataFrame(cases, "q string, want array<string>")
     for r in df.select("q", "want", X.leak_violations(F.col("q"), F.lit(""), F.lit(None).cast("string"), F.lit("core")).alias("v")).collect():
         assert r.v == r.want, r.q
 
 
+def test_rounding_is_that_of_python(spark):
+    rng = random.Random(1)
+    numbers = [2.675, 2.665, 0.5, 1.5, 2.5, -2.675, 1.005, 0.125, 1e-9, 5e-5, 2.5e-5, 5e-7, 123456789.125, 4.4e15, 1e300, -0.0, 1e12 + 0.5]
+    numbers += [rng.choice([rng.random() * 10 ** rng.randint(-3, 9), rng.randint(0, 10**6) / 1000 + 0.0005, rng.randint(0, 10**5) / 200, rng.randint(1, 2000) / 2e6]) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in numbers] + [(None,), (float("inf"),)], "x double")
+    for digits in range(7):
+        for r in df.select("x", X.py_round(F.col("x"), digits).alias("y")).collect():
+            assert r.y == (r.x if r.x is None or abs(r.x) == float("inf") else round(r.x, digits)), (r.x, digits)
+
+
 def test_small_ones(spark):
     one = spark.range(1)
     row = one.select(X.unit_id(F.lit("r"), F.lit("a\\b/c.py"), F.lit("C.f"), F.lit("0123456789abcdef")).alias("id"), X.source_url(F.lit(""), F.lit("p"), F.lit(1)).alias("none"), X.source_url(F.lit("u//"), F.lit("p"), F.lit(1)).alias("url"), X.size_gb(F.lit(4_700_000_000)).alias("gb"), X.ns_to_ms(F.lit(1_550_000)).alias("ms"), X.percent_change(F.lit(0.0), F.lit(1.0)).alias("p"), X.symbol_path(F.lit(None).cast("string"), F.lit("f")).alias("s")).first()
@@ -36,26 +49,14 @@ def test_small_ones(spark):
 
 
 def test_leaks_anywhere_in_a_document(spark, tmp_path):
-    patterns = {
-        "python file": r"\w+\.py\b",
-        "java file": r"\w+\.java\b",
-        "script file": r"\w+\.(?:js|ts)\b",
-        "code host": r"https?://(?:www\.)?(?:github|gitlab|bitbucket)\.",
-        "host name": r"\b(?:github|gitlab|bitbucket)\.(?:com|org)\b",
-        "line anchor": r"#L\d+",
-        "module path": r"\b(?:src|lib|tests?)/\w+",
-        "definition": r"\bdef\s+\w+\s*\(",
-        "class statement": r"\bclass\s+\w+\s*[:(]",
-        "import statement": r"\b(?:from\s+\w+\s+)?import\s+\w+",
-    }
-    suffix = ["", " in utils.py", " see Main.java", " https://github.com/a/b", " on gitlab.com", " #L42", " src/core", " def run(x)", " import os", " class A:", " from src0"]
-    leaks = ["no leak", "see a.py", "Main.java", "b.ts", "https://github.com/x", "on gitlab.org", "#L7", "lib/x", "def f (x)", "class \u00c9t\u00e9:", "import os", "src0", "core"]
+    suffix = _SUFFIX
+    leaks = ["no leak", "see a.py", "Main.java", "b.ts", "https://github.com/x", "on gitlab.com", "#L7", "repo7", "def f (x)", "\u00c9t\u00e9_test.py", "test_\u00e9.py", "src0", "core", "Repo\u0663"]
     rows = [(11 * i + k, "src0", f"{'one two three ' * 5}{leak}{' and more' * 30}") for i, leak in enumerate(leaks) for k in (0, i % 11)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = []
     for i, source, text in rows:
         query = text + suffix[i % 11]
-        found = [k for k, p in patterns.items() if re.search(p, query, re.I)]
+        found = [p for p in X.LEAKS if re.search(p, query, re.I)]
         found += [k for k, name in (("repository", source), ("symbol", "core")) if name in query]
         want.append((i, ",".join(found), not found))
     assert sorted(map(tuple, leakage_check(spark, str(tmp_path)).collect())) == sorted(want)
