@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .dataset import group_stats
 
+#: Kinds of conflicts.
 KINDS = ("candidate_id_mismatch", "semantic_candidate_conflict", "methodology_mismatch", "failure_supersedes_success")
 
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import py_round
+
+#: Categories of failures and the error classes that lead to them.
 VALIDATION = ("malformed_json", "missing_field", "type_mismatch", "constraint_violation")
 PROVIDER = ("timeout", "provider_unavailable", "model_error", "provider_or_model_error")
 _BY_CLASS = {"MalformedJSONError": "malformed_json", "MissingFieldError": "missing_field", "TypeMismatchError": "type_mismatch", "ConstraintViolationError": "constraint_violation"}
+_UNREACHABLE = ("OllamaUnavailableError", "UnavailableError")
+_MODEL = ("ModelNotFoundError", "GenerationError", "RuntimeError")
 MAX_ATTEMPTS = 3
 
 
@@ -19,8 +27,8 @@ def classify_failure(leaked: Column, attempts: Column, last_status: Column, firs
     for name, category in _BY_CLASS.items():
         out = out.when(kind == name, category)
     late = F.contains(F.lower(first_error), F.lit("timed out"))
-    out = out.when((kind == "OllamaUnavailableError") & late, "timeout").when(kind == "OllamaUnavailableError", "provider_unavailable")
-    return out.when(kind.isin("ModelNotFoundError", "GenerationError", "RuntimeError"), "model_error").otherwise("provider_or_model_error")
+    out = out.when(kind.isin(*_UNREACHABLE) & late, "timeout").when(kind.isin(*_UNREACHABLE), "provider_unavailable")
+    return out.when(kind.isin(*_MODEL), "model_error").otherwise("provider_or_model_error")
 
 
 def run_metadata(records: DataFrame, total: DataFrame | int) -> DataFrame:
@@ -31,19 +39,33 @@ def run_metadata(records: DataFrame, total: DataFrame | int) -> DataFrame:
         F.count_if(ok).alias("successful"),
         F.count_if(~ok).alias("failed"),
         F.coalesce(F.sum(n), F.lit(0)).alias("total_attempts"),
-        F.coalesce(F.bround(F.sum(n) / F.count("*"), 3), F.lit(0.0)).alias("avg_attempts"),
+        F.coalesce(py_round(F.sum(n) / F.count("*"), 3), F.lit(0.0)).alias("avg_attempts"),
         F.count_if(~ok & (category == "leakage")).alias("leakage_failures"),
         F.count_if(~ok & category.isin(*VALIDATION)).alias("validation_failures"),
         F.count_if(~ok & category.isin(*PROVIDER)).alias("provider_failures"),
         F.count_if(~ok & (n >= MAX_ATTEMPTS) & (category != "leakage")).alias("retry_exhausted"),
-        F.coalesce(F.bround(F.avg(F.when(ok, F.col("generation_ms"))), 1), F.lit(0.0)).alias("avg_generation_ms"),
+        F.coalesce(py_round(F.avg(F.when(ok, F.col("generation_ms"))), 1), F.lit(0.0)).alias("avg_generation_ms"),
     )
     if isinstance(total, int):
         units: Column = F.lit(total)
     else:
         one = one.crossJoin(F.broadcast(total.agg(F.count("*").alias("total_units"))))  # one row
         units = F.col("total_units")
-    return one.withColumn("success_rate", F.when(units > 0, F.bround(F.col("successful") / units, 4)).otherwise(0.0))
+    return one.withColumn("success_rate", F.when(units > 0, py_round(F.col("successful") / units, 4)).otherwise(0.0))
+
+
+def run_document(records: DataFrame, total: DataFrame | int, settings: Mapping[str, object], seconds: float, style: str = "query_style") -> dict:
+    """The metadata of a run as one document: counts and averages, the settings, failures by category, successes by style, wall time."""
+    counts = run_metadata(records, total).first().asDict()
+    failures = {r.failure_category or "unknown": r.n for r in breakdown(records.filter(~F.col("success")), "failure_category").orderBy("failure_category").limit(100).collect()}
+    styles = {r[style]: r.n for r in breakdown(records.filter("success"), style).orderBy(style).limit(100).collect()}
+    return counts | {"settings": dict(settings), "failure_breakdown": failures, "style_distribution": styles, "wall_clock_s": round(seconds, 3), "finished_utc": datetime.now(timezone.utc).isoformat()}
+
+
+def legacy_metadata(records: DataFrame) -> DataFrame:
+    """The counts of the older metadata. Its leak count is taken over the successes, so it is always 0, and is kept as that."""
+    ok = F.col("success")
+    return records.agg(F.count("*").alias("total_units"), F.count_if(ok).alias("total_queries"), F.count_if(~ok).alias("failed"), F.count_if(ok & (F.coalesce(F.col("failure_category"), F.lit("")) == "leakage")).alias("leakage_failures"))
 
 
 def breakdown(records: DataFrame, column: str) -> DataFrame:
@@ -164,9 +186,9 @@ def warmup_excluded(spark: SparkSession, d: str) -> DataFrame:
 
 def failure_classes(spark: SparkSession, d: str) -> DataFrame:
     """Error texts made from events, classified."""
-    texts = ["MalformedJSONError: x", "MissingFieldError: a", "ConstraintViolationError: b", "OllamaUnavailableError: request Timed Out", "OllamaUnavailableError: refused", "ModelNotFoundError: m", "ValueError: v", None]
+    texts = ["MalformedJSONError: x", "MissingFieldError: a", "ConstraintViolationError: b", "UnavailableError: request Timed Out", "OllamaUnavailableError: refused", "ModelNotFoundError: m", "TimeoutError: timed out", None, "UnavailableError: no answer: refused", "OllamaUnavailableError: timed out", "TypeMismatchError: t", "GenerationError: timed out", "RuntimeError"]
     e = spark.read.parquet(f"{d}/events.parquet")
-    error = F.element_at(F.array(*[F.lit(x).cast("string") for x in texts]), (F.col("event_id") % 8).cast("int") + 1)
+    error = F.element_at(F.array(*[F.lit(x).cast("string") for x in texts]), (F.col("event_id") % len(texts)).cast("int") + 1)
     return e.select("event_id", classify_failure(F.col("user_id") % 7 == 0, F.col("user_id") % 3, F.when(F.col("event_id") % 11 == 0, "success").otherwise("error"), error).alias("category"))
 
 
@@ -186,7 +208,7 @@ ORACLE = {
     "memory_stats": f"WITH {_E} SELECT day, max(generation_ms) AS peak, min(generation_ms) AS least, round(avg(generation_ms), 6) AS mean FROM e GROUP BY 1",
     "reliability": f"WITH {_E} SELECT day, round(avg(CAST(success AND attempt_count = 1 AS DOUBLE)), 6) AS reliability_first, round(avg(CAST(success AS DOUBLE)), 6) AS reliability_any, round(count(*) FILTER (success) / sum(attempt_count), 6) AS validity FROM e GROUP BY 1",
     "warmup_excluded": f"WITH {_E}, p AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS place FROM e) SELECT day, count(*) AS counted, round(avg(generation_ms), 6) AS mean_ms FROM p WHERE place > 5 GROUP BY 1",
-    "failure_classes": """SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'leakage' WHEN user_id % 3 = 0 THEN 'unknown' WHEN event_id % 11 = 0 THEN 'leakage' ELSE (['malformed_json', 'missing_field', 'constraint_violation', 'timeout', 'provider_unavailable', 'model_error', 'provider_or_model_error', 'unknown'])[event_id % 8 + 1] END AS category FROM events""",
+    "failure_classes": """SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'leakage' WHEN user_id % 3 = 0 THEN 'unknown' WHEN event_id % 11 = 0 THEN 'leakage' ELSE (['malformed_json', 'missing_field', 'constraint_violation', 'timeout', 'provider_unavailable', 'model_error', 'provider_or_model_error', 'unknown', 'provider_unavailable', 'timeout', 'type_mismatch', 'model_error', 'provider_or_model_error'])[event_id % 13 + 1] END AS category FROM events""",
 }
 QUERIES = {
     "run_metadata": run_metadata_query, "failure_breakdown": failure_breakdown, "style_distribution": style_distribution, "failure_rollup": failure_rollup, "breaker_runs": breaker, "attempt_history": attempt_history, "attempt_summary": attempt_summary_query,

@@ -32,7 +32,7 @@ AUDIT = _struct(
     seed=L, temperature=D, top_p=D, max_tokens=L, attempt_count=L, attempts=T.ArrayType(ATTEMPT), generation_ms=D, validation_ms=D,
     validation_passed=B, leakage_passed=B, leakage_violations=T.ArrayType(S), success=B, failure_category=S, failure_reason=S, completed_utc=S,
 )
-#: Columns whose values must agree among all successes of a unit.
+#: Columns whose values must agree among all successes of a unit.
 METHOD = ("model", "model_version", "prompt_version", "seed", "temperature", "top_p", "max_tokens")
 PAYLOAD = ("code_unit_id", "candidate_id", "query", "query_style", "query_intent")
 LABEL = _struct(code_unit_id=S, description=S, summary=S, concepts=T.ArrayType(S), input_types=T.ArrayType(S), output_type=S, side_effects=T.ArrayType(S), created_by=S, label_version=S)
