@@ -102,23 +102,27 @@ _ATTEMPT = pa.list_(pa.struct([("attempt_number", pa.int64()), ("status", pa.str
 _DDL = "id string, success boolean, data string, attempts array<struct<attempt_number:long,status:string,will_retry:boolean,generation_ms:double,errors:array<string>,raw_text:string>>, generation_ms double, validation_ms double, completed_utc string"
 
 
-def generate(prompts: DataFrame, factory: Factory, schema: Schema = CANDIDATE, retry: Retry = Retry(), id_col: str = "id", prompt_col: str = "prompt", workers: int | None = None) -> DataFrame:
+def generate(prompts: DataFrame, factory: Factory, schema: Schema = CANDIDATE, retry: Retry = Retry(), id_col: str = "id", prompt_col: str = "prompt", workers: int | None = None, give_up: int | None = None) -> DataFrame:
     """(id, success, data as JSON, attempts, generation_ms, validation_ms, completed_utc); one failure doesn't touch other rows.
 
-    workers: partitions that call the model at once, by default as they come.
+    workers: partitions that call the model at once, by default as they come. give_up: a task whose calls failed so many times in a row
+    asks no more, and what it didn't ask has no row.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory()
+        model, failed = factory(), 0
         for batch in batches:
             ids, asked = (batch.column(k).to_pylist() for k in (0, 1))
             got, done = [], []
             for prompt in asked:
+                if give_up is not None and failed >= give_up:
+                    break
                 got.append(run_with_retry(prompt or "", schema, model, retry))
+                failed = 0 if got[-1].success or got[-1].attempts[-1]["raw_text"] else failed + 1
                 done.append(datetime.now(timezone.utc).isoformat())
             data = [None if x.data is None else json.dumps(x.data, sort_keys=True, ensure_ascii=False) for x in got]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array([x.success for x in got]), pa.array(data, pa.string()), pa.array([x.attempts for x in got], _ATTEMPT), pa.array([x.generation_ms for x in got], pa.float64()), pa.array([x.validation_ms for x in got], pa.float64()), pa.array(done, pa.string())],
+                [pa.array(ids[: len(got)], pa.string()), pa.array([x.success for x in got], pa.bool_()), pa.array(data, pa.string()), pa.array([x.attempts for x in got], _ATTEMPT), pa.array([x.generation_ms for x in got], pa.float64()), pa.array([x.validation_ms for x in got], pa.float64()), pa.array(done, pa.string())],
                 names=["id", "success", "data", "attempts", "generation_ms", "validation_ms", "completed_utc"],
             )
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
+from ..functions.structured import with_canonical
 from ..operators import dataset, generate, recovery, runs
 from ..schemas import AUDIT, METHOD, PAYLOAD
 from ..sources import artifacts, code, sinks
-from ..streaming.checkpoint import Breaker, Locked, RecordStore, RunLock, longest_failing_run
+from ..streaming.checkpoint import Breaker, Locked, RecordStore, RunLock, failing_runs, pace
 
 OK, ERROR, CONFLICTS, UNREACHABLE, BROKEN, LOCKED = 0, 1, 2, 2, 3, 4
 
@@ -40,8 +42,16 @@ def build_dataset(spark: SparkSession, roots: list[dict], out: str, extracted_at
     return checked
 
 
-def generate_queries(spark: SparkSession, units: DataFrame, out: str, factory: generate.Factory, settings: generate.Settings = generate.Settings(), reachable: Callable[[], bool] = lambda: True, fresh: bool = False, limit: int | None = None, workers: int | None = None, batch_units: int = 1000) -> int:
-    """Records for all units that have none yet, in batches of bounded size, under the folder's lock. Returns an exit code."""
+def generate_queries(
+    spark: SparkSession, units: DataFrame, out: str, factory: generate.Factory, settings: generate.Settings = generate.Settings(), reachable: Callable[[], bool] = lambda: True, fresh: bool = False, limit: int | None = None,
+    workers: int | None = None, batch_units: int = 100, order: tuple[str, ...] = ("id",), breaker: int = 3, told: Callable[[dict], None] = lambda _: None,
+) -> int:
+    """Records for all units that have none yet, in batches of bounded size, under the folder's lock. Returns an exit code.
+
+    order: columns that say which units are first for `limit`, such as `place` of artifacts.file_order(). After `breaker` provider failures
+    in a row, in order of completion and over all batches, no further batch is asked; within a batch a task gives up after as
+    many of its own. told: gets the pace after each batch.
+    """
     store = RecordStore(spark, out)
     try:
         with RunLock(spark, out):
@@ -53,21 +63,27 @@ def generate_queries(spark: SparkSession, units: DataFrame, out: str, factory: g
                 return UNREACHABLE
             todo = store.pending(units)
             if limit is not None:
-                todo = todo.orderBy("id").limit(limit)
-            parts = max(1, -(-todo.count() // batch_units))
-            code_ = OK
-            for part in range(parts):
-                own = todo.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+                todo = todo.orderBy(*order).limit(limit)
+            # told apart once: neither the units nor the store are read again with each batch
+            queue = f"{out.rstrip('/')}/queue"
+            total = todo.count()
+            parts = max(1, -(-total // batch_units))
+            todo.withColumn("queue_part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition("queue_part").write.mode("overwrite").partitionBy("queue_part").parquet(queue)
+            code_, failing, done, start = OK, 0, 0, time.monotonic()
+            for part in range(parts) if total else ():
+                own = spark.read.parquet(queue).filter(F.col("queue_part") == part).drop("queue_part")
                 asked = prompts.blind(own)
                 prompts.assert_blind(asked)
-                made = generate.generate(asked.select("id", prompts.query_prompt().alias("prompt")), factory, workers=workers)
-                number = store.append(generate.audit_records(made, own, settings))
+                made = generate.generate(asked.select("id", prompts.query_prompt().alias("prompt")), factory, workers=workers, give_up=breaker)
+                number = store.append(generate.audit_records(made, own, settings), checked=True)
                 written = spark.read.schema(AUDIT).parquet(f"{out.rstrip('/')}/records/batch={number:09d}")
-                if longest_failing_run(written) >= 3:
+                done += written.count()
+                told(pace(done, total, time.monotonic() - start))
+                longest, failing = failing_runs(written, failing)
+                if longest >= breaker:
                     code_ = BROKEN
                     break
-            meta = runs.run_metadata(store.read(), units)
-            sinks.replace_json(spark, f"{out}/metadata.json", meta.first().asDict())
+            sinks.replace_json(spark, f"{out}/metadata.json", runs.run_document(store.read(), units, settings.__dict__, time.monotonic() - start))
             return code_
     except Locked:
         return LOCKED
@@ -84,15 +100,24 @@ def _numbered(df: DataFrame, start: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w) * 2 + start)
 
 
+def _ranked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Successes and failures in one table with what orders them: time, then the JSON with sorted keys."""
+    r = recovery.tagged(_numbered(a, 0), _numbered(b, 1)).withColumn("completed_utc", F.coalesce("completed_utc", F.lit("")))
+    return with_canonical(r, "raw")
+
+
+def _plan(records: DataFrame) -> DataFrame:
+    return recovery.verdicts(records, "code_unit_id", "completed_utc", ["canonical", "place"], list(PAYLOAD), list(METHOD), "candidate_id")
+
+
 def recover(spark: SparkSession, successes: str, failures: str, out: str, isolate: bool = False, dry_run: bool = False) -> int:
     """Repair two JSON-lines artifacts into a new version below `out`; units in conflict are refused, or set aside with `isolate`."""
     try:
-        a = _numbered(artifacts.strict_records(spark, successes, AUDIT, keep_raw=True), 0)
-        b = _numbered(artifacts.strict_records(spark, failures, AUDIT, keep_raw=True), 1)
+        a, b = (artifacts.strict_records(spark, path, AUDIT, keep_raw=True) for path in (successes, failures))
     except artifacts.BrokenArtifact:
         return ERROR
-    r = recovery.tagged(a, b).withColumn("completed_utc", F.coalesce("completed_utc", F.lit(""))).withColumn("canonical", F.to_json(F.from_json("raw", "map<string,string>")))
-    plan = recovery.verdicts(r, "code_unit_id", "completed_utc", ["canonical", "place"], list(PAYLOAD), list(METHOD), "candidate_id").cache()
+    r = _ranked(a, b)
+    plan = _plan(r).cache()
     try:
         bad = plan.filter(F.col("verdict").isin(*recovery.KINDS))
         n = bad.count()
@@ -104,6 +129,9 @@ def recover(spark: SparkSession, successes: str, failures: str, out: str, isolat
         tables = {"successes": sinks.sorted_lines(live.filter("success"), "code_unit_id"), "failures": sinks.sorted_lines(live.filter("not success"), "code_unit_id")}
         if n:
             tables["quarantined"] = recovery.conflict_report(r, plan, "code_unit_id").orderBy("kind", "code_unit_id", "completed_utc", "raw").select(F.col("raw").alias("value"))
+            # a line for each record in conflict, with its kind: the report proper, of any size
+            report = recovery.conflict_report(r, plan, "code_unit_id").orderBy("kind", "code_unit_id", "completed_utc", "raw")
+            tables["conflicts"] = report.select(F.to_json(F.struct("kind", "code_unit_id", "success", "completed_utc", F.col("raw").alias("record"))).alias("value"))
         versions = sinks.Versions(spark, out)
         versions.publish(tables, "lines")
         if n:
@@ -113,20 +141,27 @@ def recover(spark: SparkSession, successes: str, failures: str, out: str, isolat
         plan.unpersist()
 
 
-def merge(spark: SparkSession, store: tuple[str, str], staged: tuple[str, str], out: str) -> int:
-    """Add regenerated records to a repaired store. Overlapping units are an error unless the staged records are there already."""
+def merge(spark: SparkSession, store: tuple[str, str], staged: tuple[str, str], out: str, dry_run: bool = False, one_method: bool = True) -> int:
+    """Add regenerated records to a repaired store.
+
+    Nothing is done if the staged records, whatever the order of their keys, are there already. Units that both have, and
+    units that are in conflict over both, are an error; with `one_method`, so are successes that weren't all made in one way.
+    """
     try:
-        a, b = artifacts.load_store(spark, *store, AUDIT, keep_raw=True)
-        c, d = artifacts.load_store(spark, *staged, AUDIT, keep_raw=True)
+        old, new = (_ranked(*artifacts.load_store(spark, *x, AUDIT, keep_raw=True)) for x in (store, staged))
     except artifacts.BrokenArtifact:
         return ERROR
-    old, new = recovery.tagged(a, b), recovery.tagged(c, d)
+    if recovery.already_merged(new.select("canonical"), old.select("canonical")).isEmpty():
+        return OK
     if not recovery.key_overlap(old, new, "code_unit_id").isEmpty():
-        return OK if recovery.already_merged(new.select("raw"), old.select(F.col("raw"))).isEmpty() else ERROR
-    if recovery.signatures(recovery.tagged(a, b).unionByName(new).filter("success"), list(METHOD)).first()[0] > 1:
         return ERROR
     both = old.unionByName(new)
-    sinks.Versions(spark, out).publish({"successes": sinks.sorted_lines(both.filter("success"), "code_unit_id"), "failures": sinks.sorted_lines(both.filter("not success"), "code_unit_id")}, "lines")
+    if not _plan(both).filter(F.col("verdict").isin(*recovery.KINDS)).isEmpty():
+        return ERROR
+    if one_method and recovery.signatures(both.filter("success"), list(METHOD)).first()[0] > 1:
+        return ERROR
+    if not dry_run:
+        sinks.Versions(spark, out).publish({"successes": sinks.sorted_lines(both.filter("success"), "code_unit_id"), "failures": sinks.sorted_lines(both.filter("not success"), "code_unit_id")}, "lines")
     return OK
 
 
@@ -136,5 +171,5 @@ def build_subset(spark: SparkSession, split: str, ids: DataFrame, out: str) -> i
         lines = artifacts.verbatim_subset(spark, split, ids, F.get_json_object("value", "$.id"))
     except artifacts.BrokenArtifact:
         return ERROR
-    lines.coalesce(1).write.mode("overwrite").text(out)
+    lines.write.mode("overwrite").text(out)
     return OK

@@ -1,7 +1,8 @@
 """JSON-lines artifacts: strict scans that tell where a file is broken, repair of torn ends, and verbatim copies.
 
-Lines come from Spark's text reader, which splits files; a line's number is not known there, so errors name the file and
-show the line. Only the repair of a torn end looks at whole files, and of those at the end alone.
+Lines come from Spark's text reader, which splits files; where a line stands is known by its block and its place in the task's
+reading, so errors count their line's number only when there are any. The repair of a torn end looks at the end of a
+file alone.
 """
 
 from __future__ import annotations
@@ -29,12 +30,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value) of the lines that aren't blank; none if the path doesn't exist."""
+#: Where a line stands: sorting by this gives the order of the files and of the lines in each.
+PLACE = "struct<file:string,block:bigint,row:bigint>"
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value) of all lines, blank ones too; none if the path doesn't exist."""
     if not exists(spark, path):
-        return spark.createDataFrame([], "file string, value string")
+        return spark.createDataFrame([], f"place {PLACE}, value string")
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value").filter(strip(F.col("value")) != "")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(place.alias("place"), "value")
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the lines that aren't blank; none if the path doesn't exist."""
+    return placed_lines(spark, path).select("place.file", "value").filter(strip(F.col("value")) != "")
+
+
+def file_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a JSON-lines path with their `place`, so that the first of them can be told."""
+    lines = placed_lines(spark, path).filter(strip(F.col("value")) != "")
+    return lines.select("place", F.from_json("value", schema).alias("r")).select("r.*", "place")
 
 
 def _is_object(value: Column) -> Column:
@@ -57,10 +74,13 @@ def record_shape(value: Column) -> Column:
 
 def strict_records(spark: SparkSession, path: str, schema: T.StructType, keep_raw: bool = False) -> DataFrame:
     """Records of a JSON-lines path; the first broken lines are an error. keep_raw: the line itself as column `raw`."""
-    lines = raw_lines(spark, path).withColumn("wrong", record_shape(F.col("value")))
-    bad = lines.filter("wrong is not null").select("file", "wrong", F.substr("value", F.lit(1), F.lit(80)).alias("start")).limit(5).collect()
+    placed = placed_lines(spark, path)
+    lines = placed.filter(strip(F.col("value")) != "").withColumn("wrong", record_shape(F.col("value")))
+    bad = lines.filter("wrong is not null").select("place", "wrong", F.substr("value", F.lit(1), F.lit(80)).alias("start")).orderBy("place").limit(5).collect()
     if bad:
-        raise BrokenArtifact("; ".join(f"{r.file}: {r.wrong}: {r.start!r}" for r in bad))
+        before = [F.count_if((F.col("place.file") == r.place.file) & (F.col("place") <= F.struct(*[F.lit(x).alias(k) for k, x in r.place.asDict().items()]))) for r in bad]
+        numbers = placed.agg(*[n.alias(str(k)) for k, n in enumerate(before)]).first()
+        raise BrokenArtifact("; ".join(f"{r.place.file}:{n}: {r.wrong}: {r.start!r}" for r, n in zip(bad, numbers, strict=True)))
     rows = lines.select(F.from_json("value", schema).alias("r"), F.col("value").alias("raw"))
     return rows.select("r.*", *["raw"] * keep_raw)
 

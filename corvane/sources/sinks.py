@@ -76,7 +76,7 @@ class Versions:
         name = f"v-{uuid.uuid4().hex}"
         for key, df in tables.items():
             if fmt == "lines":
-                df.coalesce(1).write.text(f"{self.path}/{name}/{key}")
+                df.write.text(f"{self.path}/{name}/{key}")  # sorted rows come in files in order of their names
             else:
                 df.write.format(fmt).save(f"{self.path}/{name}/{key}")
         replace_text(self.spark, f"{self.path}/CURRENT", name)

@@ -9,7 +9,7 @@ from corvane.operators import generate
 from corvane.plans import jobs
 from corvane.schemas import AUDIT
 from corvane.sources import artifacts, sinks, system
-from corvane.streaming.checkpoint import Breaker, Locked, RecordStore, Repeated, RunLock, generate_stream, longest_failing_run
+from corvane.streaming.checkpoint import Breaker, Locked, RecordStore, Repeated, RunLock, failing_runs, generate_stream, pace
 
 GOOD = json.dumps({"query": "sum of numbers", "query_style": "natural", "query_intent": "find"})
 
@@ -130,7 +130,101 @@ def test_generation_resumes(spark, tmp_path):
         with pytest.raises(Locked), RunLock(spark, out):
             pass
     assert jobs.generate_queries(spark, u, out, generate.replay({}), fresh=True) == jobs.BROKEN  # no answers: all calls fail
-    assert longest_failing_run(RecordStore(spark, out).read()) == 6
+    # a task gives up after three of its own
+    assert RecordStore(spark, out).read().count() == 3 and failing_runs(RecordStore(spark, out).read()) == (3, 3)
+
+
+def test_breaker_counts_over_batches(spark, tmp_path):
+    out, paces = str(tmp_path / "g"), []
+    u = units(spark, [f"u{i}" for i in range(12)])
+    # one unit a batch, of which none alone has three failures
+    assert jobs.generate_queries(spark, u, out, generate.replay({}), batch_units=1, told=paces.append) == jobs.BROKEN
+    store = RecordStore(spark, out)
+    asked = store.read().count()
+    assert 3 <= asked < 12 and paces[-1]["done"] == asked and paces[-1]["total"] == 12 and paces[-1]["eta_s"] > 0
+    assert jobs.generate_queries(spark, u, out, generate.replay({}, [GOOD]), batch_units=4) == jobs.OK
+    assert store.read().count() == 12 and store.read().filter("success").count() == 12 - asked
+    meta = json.loads(sinks.read_text(spark, f"{out}/metadata.json"))
+    assert meta["settings"]["seed"] == 42 and sum(meta["failure_breakdown"].values()) == asked and meta["style_distribution"] == {"natural": 12 - asked} and meta["wall_clock_s"] > 0
+    assert pace(0, 5, 1.0)["eta_s"] is None
+
+
+def plain_runs(flags, carried):
+    longest = now = carried
+    for x in flags:
+        now = now + 1 if x else 0
+        longest = max(longest, now)
+    return longest, now
+
+
+def test_failing_runs(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 7, 300):
+        flags = [rng.random() < 0.8 for _ in range(n)]
+        rows = [(f"2026-01-01T{i:06d}", f"u{i}", "timeout" if x else "leakage", False) for i, x in enumerate(flags)]
+        df = spark.createDataFrame(rows[::-1], "completed_utc string, code_unit_id string, failure_category string, success boolean").repartition(5)
+        for carried in (0, 2):
+            assert failing_runs(df, carried) == plain_runs(flags, carried)
+
+
+def test_first_units_in_file_order(spark, tmp_path):
+    p = tmp_path / "split"
+    p.write_text("".join(json.dumps({"id": f"u{(i * 7919) % 5000:05d}", "pad": "x" * 200}) + "\n" + "\n" * (i % 3) for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = artifacts.file_order(spark, str(p), spark.createDataFrame([], "id string").schema)
+        assert rows.rdd.getNumPartitions() > 4
+        assert [r.id for r in rows.orderBy("place").limit(100).collect()] == [f"u{(i * 7919) % 5000:05d}" for i in range(100)]
+        lines_ = [json.dumps(rec(f"u{i}")) for i in range(900)]
+        lines_[700], lines_[50] = "{", ""
+        with pytest.raises(artifacts.BrokenArtifact, match="bad:701: not a JSON object"):
+            artifacts.strict_records(spark, write(tmp_path / "bad", lines_), AUDIT)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_equal_times_go_by_sorted_keys(spark, tmp_path):
+    a = rec("u", generation_ms=2.0)
+    b = dict(reversed(list(rec("u", generation_ms=1.0, zeta=1).items())))
+    want = min((json.dumps(x, sort_keys=True), json.dumps(x)) for x in (a, b))[1]
+    for k, rows in enumerate(([a, b], [b, a])):
+        assert jobs.recover(spark, *artifacts_of(tmp_path, rows, f"k{k}"), str(tmp_path / f"ko{k}")) == jobs.OK
+        v = sinks.Versions(spark, str(tmp_path / f"ko{k}")).current()
+        assert lines(spark, f"{v}/successes") == [want]
+
+
+def test_merge_plans_the_union(spark, tmp_path):
+    store = artifacts_of(tmp_path, [rec("a"), rec("b", False)], "store")
+    again = artifacts_of(tmp_path, [dict(reversed(list(rec("a").items())))], "again")
+    assert jobs.merge(spark, store, again, str(tmp_path / "x")) == jobs.OK and sinks.Versions(spark, str(tmp_path / "x")).current() is None  # the same record with other key order
+    assert jobs.merge(spark, store, artifacts_of(tmp_path, [rec("c", candidate_id="other")], "bad"), str(tmp_path / "x")) == jobs.ERROR
+    fresh = artifacts_of(tmp_path, [rec("c", seed=7), rec("d", False)], "fresh")
+    assert jobs.merge(spark, store, fresh, str(tmp_path / "x"), dry_run=True, one_method=False) == jobs.OK and sinks.Versions(spark, str(tmp_path / "x")).current() is None
+    assert jobs.merge(spark, store, fresh, str(tmp_path / "x"), one_method=False) == jobs.OK
+    v = sinks.Versions(spark, str(tmp_path / "x")).current()
+    assert sorted(json.loads(x)["code_unit_id"] for x in lines(spark, f"{v}/successes") + lines(spark, f"{v}/failures")) == ["a", "b", "c", "d"]
+
+
+def test_errors_of_the_server_have_categories(spark):
+    import socket
+
+    from pyspark.sql import functions as F
+
+    from corvane.operators.runs import classify_failure, legacy_metadata
+
+    silent = socket.socket()
+    silent.bind(("127.0.0.1", 0))
+    silent.listen()
+    told = []
+    for url, timeout in ((f"http://127.0.0.1:{silent.getsockname()[1]}", 0.3), ("http://127.0.0.1:9", 1.0)):
+        out = generate.run_with_retry("p", generate.CANDIDATE, system.remote_model(url, "m", timeout=timeout)())
+        told.append((out.attempts[-1]["errors"][0],))
+    silent.close()
+    df = spark.createDataFrame(told, "e string")
+    got = df.select("e", classify_failure(F.lit(False), F.lit(1), F.lit("failed"), F.col("e")).alias("c")).collect()
+    assert [r.c for r in got] == ["timeout", "provider_unavailable"], got
+    legacy = legacy_metadata(spark.createDataFrame([(True, None), (False, "leakage")], "success boolean, failure_category string")).first()
+    assert tuple(legacy) == (2, 1, 1, 0)
 
 
 def test_stream(spark, tmp_path):
