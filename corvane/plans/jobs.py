@@ -12,7 +12,7 @@ from ..functions import prompts
 from ..functions.structured import with_canonical
 from ..operators import dataset, generate, recovery, runs
 from ..schemas import AUDIT, METHOD, PAYLOAD
-from ..sources import artifacts, code, sinks
+from ..sources import artifacts, code, sinks, system
 from ..streaming.checkpoint import Breaker, Locked, RecordStore, RunLock, failing_runs, pace
 
 OK, ERROR, CONFLICTS, UNREACHABLE, BROKEN, LOCKED = 0, 1, 2, 2, 3, 4
@@ -38,19 +38,23 @@ def build_dataset(spark: SparkSession, roots: list[dict], out: str, extracted_at
     sinks.write_dataset(units.drop("copies"), out)
     totals = units.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("extracted"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"), F.count("*").alias("total"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
     checked = dataset.count_consistency(totals)
-    sinks.replace_json(spark, f"{out}/meta/stats.json", checked.first().asDict())
+    counts = checked.first().asDict()
+    by = {f"by_{c}": {r[c]: r["count"] for r in units.groupBy(c).count().orderBy(c).limit(10_000).collect()} for c in ("repository", "split", "symbol_type", "language")}
+    sinks.replace_json(spark, f"{out}/meta/stats.json", counts | {"code_units": {"total": counts["total"], **by}})
+    sinks.write_version(spark, out, counts, roots, system.manifest_hash([{k: r.get(k) for k in ("id", "split", "base_url", "commit")} for r in roots]))
     return checked
 
 
 def generate_queries(
     spark: SparkSession, units: DataFrame, out: str, factory: generate.Factory, settings: generate.Settings = generate.Settings(), reachable: Callable[[], bool] = lambda: True, fresh: bool = False, limit: int | None = None,
     workers: int | None = None, batch_units: int = 100, order: tuple[str, ...] = ("id",), breaker: int = 3, told: Callable[[dict], None] = lambda _: None,
+    dataset_path: str | None = None,
 ) -> int:
     """Records for all units that have none yet, in batches of bounded size, under the folder's lock. Returns an exit code.
 
     order: columns that say which units are first for `limit`, such as `place` of artifacts.file_order(). After `breaker` provider failures
     in a row, in order of completion and over all batches, no further batch is asked; within a batch a task gives up after as
-    many of its own. told: gets the pace after each batch.
+    many of its own. told: gets the pace after each batch. dataset_path: of the dataset whose metadata say what queries are made with.
     """
     store = RecordStore(spark, out)
     try:
@@ -83,6 +87,10 @@ def generate_queries(
                 if longest >= breaker:
                     code_ = BROKEN
                     break
+            s = settings.__dict__
+            if dataset_path:
+                block = {"model_name": s["model"], "model_version": s["model_version"], "prompt_template_version": s["prompt_version"], "seed": s["seed"], "generation_params": {"temperature": s["temperature"], "top_p": s["top_p"]}}
+                sinks.update_query_generation(spark, dataset_path, block)
             sinks.replace_json(spark, f"{out}/metadata.json", runs.run_document(store.read(), units, settings.__dict__, time.monotonic() - start))
             return code_
     except Locked:

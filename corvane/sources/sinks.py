@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,65 @@ class RepeatedKey(ValueError):
     """A key that must be unique isn't."""
 
 
+def bumped(version: str, change: str) -> str:
+    """The next version: major for another schema, minor for other content, patch for a repair."""
+    parts = [int(x) for x in version.split(".")]
+    if len(parts) != 3 or change not in ("major", "minor", "patch"):
+        raise ValueError(f"{version} {change}")
+    at = ("major", "minor", "patch").index(change)
+    return ".".join(str(x + 1 if k == at else x if k < at else 0) for k, x in enumerate(parts))
+
+
+def write_version(spark: SparkSession, path: str, counts: dict, repositories: list[dict], manifest_hash: str, change: str | None = None, **more: object) -> dict:
+    """meta/version.json of a dataset: its version, where it comes from and how many units it has. With `change`, the version that is there is
+    bumped and what queries were made with is kept."""
+    before = json.loads(read_text(spark, f"{path}/meta/version.json") or "null")
+    now = {
+        "version": bumped(before["version"], change) if before and change else "1.0.0",
+        "schema_version": "1.0.0",
+        "release_date": datetime.now(timezone.utc).strftime("%Y-%m-%d"),
+        "repositories": sorted(r["id"] for r in repositories),
+        "repository_commits": {r["id"]: r.get("commit") for r in repositories},
+        "repository_splits": {r["id"]: r["split"] for r in repositories},
+        "manifest_hash": manifest_hash,
+        "total_code_units": counts["total"],
+        "extracted_code_units": counts["extracted"],
+        "duplicate_code_units": counts["duplicates"],
+        **{f"{s}_cases": counts[s] for s in ("train", "validation", "test")},
+        "total_queries": 0,
+        "parser": "python_ast",
+        "deduplication_method": "sha256_of_stripped_source_utf8",
+        "eligibility_rules": {"min_source_lines": 3, "max_source_lines": 100},
+        "frozen": False,
+    } | more
+    if before and change and "query_generation" in before:
+        now["query_generation"] = before["query_generation"]
+    replace_json(spark, f"{path}/meta/version.json", now)
+    return now
+
+
+def update_query_generation(spark: SparkSession, path: str, block: dict) -> dict:
+    """Put what queries are made with into meta/version.json and leave everything else as it is."""
+    text = read_text(spark, f"{path}/meta/version.json")
+    if text is None:
+        raise FileNotFoundError(f"{path}/meta/version.json")
+    meta = json.loads(text) | {"query_generation": block}
+    replace_json(spark, f"{path}/meta/version.json", meta)
+    return meta
+
+
+def write_candidates(spark: SparkSession, records: DataFrame, path: str) -> dict:
+    """The older artifact: all successful records at once, in place of what was there, and the number of queries in meta/version.json."""
+    from ..operators.runs import legacy_metadata
+
+    records.filter("success").write.mode("overwrite").json(f"{path}/queries/candidates")
+    counts = legacy_metadata(records).first().asDict()
+    text = read_text(spark, f"{path}/meta/version.json")
+    if text is not None:
+        replace_json(spark, f"{path}/meta/version.json", json.loads(text) | {"total_queries": counts["total_queries"]})
+    return counts
+
+
 def write_dataset(units: DataFrame, path: str, fmt: str = "json") -> None:
     """Units by repository, and once more by split, for readers that prune by either."""
     units.write.mode("overwrite").partitionBy("repository").format(fmt).save(f"{path}/by_repository")

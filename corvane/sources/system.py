@@ -21,6 +21,9 @@ from ..functions.text import size_gb
 from ..schemas import REPOSITORY
 
 
+Fetch = Callable[[str, dict | None], dict]
+
+
 class RepositoryError(RuntimeError):
     pass
 
@@ -72,6 +75,46 @@ def acquire(url: str, workspace: str, revision: str = "main") -> dict:
     return {"url": url, "local_path": str(target), "commit": commit, "reference": revision, "content_hash": directory_hash(workspace)}
 
 
+def shallow_clone(url: str, workspace: str, revision: str) -> dict:
+    """One commit of a repository without its history: path and commit. A folder that is there already is taken as it is."""
+    target = Path(workspace)
+    if not target.exists():
+        target.parent.mkdir(parents=True, exist_ok=True)
+        git("clone", "--depth=1", url, str(target))
+        git("fetch", "--depth=1", "origin", revision, cwd=workspace)
+        git("checkout", "--detach", "FETCH_HEAD", cwd=workspace)
+    return {"url": url, "local_path": str(target), "commit": git("rev-parse", "HEAD", cwd=workspace), "reference": revision}
+
+
+def gpus(run: Callable[..., str] | None = None) -> list[dict]:
+    """Name and memory of the graphics cards that the vendor's tool tells of; none without it."""
+    ask = run or (lambda *args: subprocess.run(args, capture_output=True, text=True, timeout=10, check=True).stdout)
+    try:
+        said = ask("nvidia-smi", "--query-gpu=name,memory.total,memory.used", "--format=csv,noheader,nounits")
+    except (OSError, subprocess.SubprocessError):
+        return []
+    rows = [[x.strip() for x in line.split(",")] for line in said.splitlines() if line.count(",") >= 2]
+    number = lambda x: int(x) if x.isdigit() else None
+    return [{"name": ",".join(r[:-2]), "memory_mb": number(r[-2]), "used_mb": number(r[-1])} for r in rows]
+
+
+def process_mb() -> float | None:
+    """Resident memory of this process; null where the system doesn't tell."""
+    try:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / (1 << 20)
+    except (OSError, ValueError, IndexError):
+        return None
+
+
+def environment(spark: SparkSession, settings: dict, fetch: Fetch | None = None) -> dict:
+    """What a run depends on: machine, graphics cards, versions, settings, and the server's models if there is one."""
+    try:
+        offered = [r.asDict() for r in models(spark, fetch).limit(1000).collect()] if fetch else None
+    except (UnavailableError, ModelNotFoundError, GenerationError):
+        offered = None
+    return {"machine": system_profile(spark).first().asDict(), "gpus": gpus(), "process_mb": process_mb(), "settings": settings, "models": offered}
+
+
 def directory_hash(root: str) -> str:
     """SHA-256 over the paths and bytes of all files in path order, without version control's own."""
     digest = hashlib.sha256()
@@ -94,9 +137,6 @@ def manifest_hash(rows: list[dict]) -> str:
     return hashlib.sha256(json.dumps(rows, sort_keys=True).encode()).hexdigest()
 
 
-Fetch = Callable[[str, dict | None], dict]
-
-
 def http_fetch(base: str, timeout: float = 60.0) -> Fetch:
     """JSON over HTTP: a GET without a body, else a POST."""
 
