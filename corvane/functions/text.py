@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -58,22 +59,36 @@ def py_round(x: Column, digits: int) -> Column:
     bround() goes by the decimal rendering. Here the part behind the point is an integer in units of 2^-62 (of 2^-73 below 2^-10), which
     hold all of its bits, and the rest is exact arithmetic.
     """
-    x = x.cast("double")
-    size = F.abs(x)
-    whole = F.floor(size)
-    small = size < 2.0**-10
-    fine = (size - whole) * F.when(small, 2.0**73).otherwise(2.0**62)
-    ten, half = 10**digits, F.when(small, F.lit(Decimal(1 << 72)).cast("decimal(23,0)")).otherwise(F.lit(1 << 61).cast("decimal(23,0)"))
-    scaled = F.floor(fine).cast("decimal(38,0)") * F.lit(ten).cast("decimal(7,0)")
-    scaled = scaled.cast("decimal(38,0)")
-    up = F.floor(scaled / (half * 2).cast("decimal(24,0)")).cast("decimal(8,0)")
-    rest = (scaled - up * (half * 2).cast("decimal(24,0)")).cast("decimal(38,0)")
-    below = (whole.cast("decimal(20,0)") * F.lit(ten).cast("decimal(7,0)")).cast("decimal(38,0)") + up
-    odd = (below % 2) == 1
-    more = (rest > half) | ((rest == half) & (odd | (fine != F.floor(fine))))
-    total = (below + F.when(more, 1).otherwise(0)).cast("decimal(31,0)")
-    out = (total / F.lit(ten).cast("decimal(7,0)")).cast("double")
-    return F.when(size < 2.0**52, F.when(x < 0, -out).otherwise(out)).otherwise(x)
+    ten = 10**digits
+
+    def rounded(size: Column) -> Column:
+        small, whole = size < 2.0**-10, F.floor(size)
+        # twice this is one
+        half = F.when(small, F.lit(Decimal(1 << 72)).cast("decimal(23,0)")).otherwise(F.lit(1 << 61).cast("decimal(23,0)"))
+        fine = (size - whole) * F.when(small, 2.0**73).otherwise(2.0**62)
+
+        def put_together(scaled: Column, one: Column) -> Column:
+            def decided(up: Column) -> Column:
+                rest = (scaled - up * one).cast("decimal(38,0)") * 2
+                below = (whole.cast("decimal(20,0)") * F.lit(ten).cast("decimal(7,0)")).cast("decimal(38,0)") + up
+                more = (rest > one) | ((rest == one) & (below % 2 == 1))
+                return ((below + F.when(more, 1).otherwise(0)).cast("decimal(31,0)") / F.lit(ten).cast("decimal(7,0)")).cast("double")
+
+            return _let(F.floor(scaled / one).cast("decimal(8,0)"), decided)
+
+        scaled = (F.floor(fine).cast("decimal(38,0)") * F.lit(ten).cast("decimal(7,0)")).cast("decimal(38,0)")
+        return _let(F.struct(scaled.alias("scaled"), (half * 2).cast("decimal(24,0)").alias("one")), lambda v: put_together(v["scaled"], v["one"]))
+
+    def signed(value: Column) -> Column:
+        size = F.abs(value)
+        return F.when(size < 2.0**52, _let(size, rounded) * F.when(value < 0, -1.0).otherwise(1.0)).otherwise(value)
+
+    return _let(x.cast("double"), signed)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value that is computed once and used in several places."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def size_gb(size: Column) -> Column:
