@@ -78,6 +78,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, url_co
 
     Every row comes back once, repeated rows too. Null URLs and such without `://` have an empty host and path, which
     no rule fits: rule null, verdict `default`. Without rules, all get the default.
+    Of rules of the same length that fit, a block wins over an allow, and among such the last text in order.
     """
     host, path = host_and_path(F.col(url_col))
     names = {k: free_name(pages, k) for k in ("host", "path", "rule", "verdict")}

@@ -40,3 +40,11 @@ def test_other_rules(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     got = {r[0]: tuple(r)[-4:] for r in judge(df, rules, default="block").collect()}
     assert got == {i: expected(u, rules, "block") for i, u in enumerate(URLS)}
+
+
+def test_ties_of_equal_length(spark):
+    rules = [Rule("allow", "a.com", "/x/"), Rule("block", "com", "/x/y/"), Rule("allow", "com", "/x/y/")]
+    df = spark.createDataFrame([(1, "http://a.com/x/y/z"), (2, "http://a.com/x/"), (3, "http://b.com/x/y/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(df, rules).collect()}
+    assert len("a.com/x/") == 8 and len("com/x/y/") == 8
+    assert got == {1: ("com/x/y/", "block"), 2: ("a.com/x/", "allow"), 3: ("com/x/y/", "block")}
