@@ -12,9 +12,9 @@
 
 `link_within` deals a group out in blocks of bounded weight. The group's leader goes to each block, so a large
 group of alike documents comes together after one round. Only documents that didn't join their group's
-main part go on: they meet those of the group that share a band key with them, also block by block. A long chain of
-documents, each like the next, so costs as much as its bands hold. What stays quadratic is a crowd whose members all share bands, all
-look alike to the sketch and are yet not linked to the leader. No cap drops anything.
+main part go on: they meet all blocks of the group or, where those are many, those documents of the group that share a band key
+with them. A long chain of documents, each like the next, so costs as much as its bands hold. What stays quadratic is a
+crowd whose members all share bands, all look alike to the sketch and are yet not linked to the leader. No cap drops anything.
 """
 
 from __future__ import annotations
@@ -50,7 +50,6 @@ class NearDup:
     sigmas: float = 5.0
     block_rows: int = 1024
     block_shingles: int = 1_000_000
-    exact_rows: int = 256  # of a block of full sets
     late_rows: int = 16_384  # of a block in the second round of sketches, where each block meets all others
 
     @property
@@ -251,9 +250,8 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
 
     members: (grp, id), payloads: (id, n, payload), bands: (id, band). A group weighs as many rows, or shingles if `exact`, and is
     dealt out in blocks of bounded weight, its leader (smallest id) going to each block. Groups of one block
-    are done then. In larger ones, one member of each part that came together is compared once more with those of the other parts, and
-    members that are outside of the leader's part even then meet all blocks of their group, or if `bands` is given
-    those members of the group that share a band with them.
+    are done then. In larger ones, members outside the leader's component meet all blocks of their group; if `bands` is given and that
+    makes more pairs of blocks than there are bands, they meet those members of the group that share a band with them.
     """
     weight = F.col("n") if exact else F.lit(1)
     m = cut(members.join(payloads.select("id", "n"), "id"))
@@ -262,20 +260,27 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
     if wide.isEmpty():
         return edges
     total = m.count()
-    # what came together in different blocks of a group: one member of each such part stands for it in one more round
     edges = cut(edges)
     parts = cut(connected_components(edges))
-    some = m.filter("blocks > 1").select("grp", "id").join(parts, F.col("id") == F.col("node"), "left").groupBy("grp", F.coalesce("component", "id").alias("part")).agg(F.min("id").alias("id"))
-    more, _, _ = _in_blocks(cut(some.select("grp", "id").join(payloads.select("id", "n"), "id")), payloads, p, exact)
-    edges = cut(edges.unionByName(more))
-    parts = cut(connected_components(edges))
     main = wide.join(parts, F.col("leader") == F.col("node"), "left").select("grp", "rows", F.coalesce("component", "leader").alias("main"))
     late = attach(m.filter("blocks > 1").select("grp", "id", "n"), main, "grp", total, "rows")
-    late = late.join(parts, F.col("id") == F.col("node"), "left").select("grp", "id", "n", (F.coalesce("component", "id") != F.col("main")).alias("rest"))
+    late = cut(late.join(parts, F.col("id") == F.col("node"), "left").select("grp", "id", "n", (F.coalesce("component", "id") != F.col("main")).alias("rest")))
+    late = _placed(late, p, exact)
     if bands is not None:
-        late = late.join(bands, "id").select(F.xxhash64("grp", "band").alias("grp"), "id", "n", "rest")
-    late = cut(late)
-    most = p.exact_rows if exact else p.late_rows
+        # groups of more pairs of blocks than a document has bands
+        spread = F.col("blocks").cast("long") * F.col("odd_blocks") > p.bands
+        apart = late.filter(spread).join(bands, "id").select(F.xxhash64("grp", "band").alias("grp"), "id", "n", "rest")
+        late = late.filter(~spread).unionByName(_placed(cut(apart), p, exact))
+    # a task is (block of the rest, block of the group); members of the main part need not meet one another
+    to_all = late.filter("rest").select("grp", "id", F.pmod(F.xxhash64("id"), F.col("odd_blocks")).cast("int").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t3"))
+    from_all = late.select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("t2"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("t3"))
+    second = to_all.unionByName(from_all).distinct().withColumnRenamed("grp", "t1")
+    return edges.unionByName(_compare(second.join(payloads, "id"), p, exact))
+
+
+def _placed(late: DataFrame, p: NearDup, exact: bool) -> DataFrame:
+    """(grp, id, n, rest) of groups of two or more that have a rest, with the numbers of blocks of the group and of its rest."""
+    weight, most = F.col("n") if exact else F.lit(1), p.block_rows if exact else p.late_rows
 
     def blocks(weight: Column, rows: Column) -> Column:
         return (F.greatest(F.ceil(weight / p.block_shingles), F.ceil(rows / most)) if exact else F.ceil(rows / most)).cast("int")
@@ -283,18 +288,13 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
     odd = F.when(F.col("rest"), weight)
     counts = late.groupBy("grp").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.sum(odd).alias("odd"), F.count(odd).alias("odd_rows")).filter("odd_rows > 0 and rows > 1")
     counts = cut(counts.select("grp", "rows", blocks(F.col("weight"), F.col("rows")).alias("blocks"), blocks(F.col("odd"), F.col("odd_rows")).alias("odd_blocks")))
-    late = cut(attach(late, counts, "grp", late.count(), "rows"))
-    # a task is (block of the rest, block of the group); members of the main part need not meet one another
-    to_all = late.filter("rest").select("grp", "id", F.pmod(F.xxhash64("id"), F.col("odd_blocks")).cast("int").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t3"))
-    from_all = late.select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("t2"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("t3"))
-    second = to_all.unionByName(from_all).distinct().withColumnRenamed("grp", "t1")
-    return edges.unionByName(_compare(second.join(payloads, "id"), p, exact))
+    return cut(attach(late, counts, "grp", late.count(), "rows"))
 
 
 def _in_blocks(m: DataFrame, payloads: DataFrame, p: NearDup, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges within blocks of each group, to each of which its leader goes; the groups of two or more; (grp, id, n) with the group's columns."""
     total, weight = m.count(), F.col("n") if exact else F.lit(1)
-    blocks = F.greatest(F.ceil(F.col("weight") / p.block_shingles), F.ceil(F.col("rows") / p.exact_rows)) if exact else F.ceil(F.col("weight") / p.block_rows)
+    blocks = F.greatest(F.ceil(F.col("weight") / p.block_shingles), F.ceil(F.col("rows") / p.block_rows)) if exact else F.ceil(F.col("weight") / p.block_rows)
     groups = m.groupBy("grp").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.min("id").alias("leader")).filter("rows > 1")
     groups = cut(groups.select("grp", "rows", "leader", blocks.cast("int").alias("blocks")))
     m = cut(attach(m, groups, "grp", total, "rows"))
