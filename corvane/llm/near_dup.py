@@ -32,6 +32,8 @@ from .common import BLANKS, LOWER, constants, cut, free_name, mix, ngram_hashes,
 from .components import attach, connected_components
 
 SKETCH_BITS = 512
+#: Rows whose samples are made into bands and sketches at once, some ten kilobytes each.
+SIGNED = 512
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,7 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
         b = (constants(k, 2) >> np.uint64(32)).astype(np.uint32)
         lanes = np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         weights, salt = constants(p.rows, 3), np.arange(p.bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in (whole.slice(i, SIGNED) for whole in batches for i in range(0, whole.num_rows, SIGNED)):
             n, f1, f2 = [], [], []
             least = np.zeros((batch.num_rows, k), np.uint32)
             for r, u in enumerate(_sets(batch.column(2), p.shingle)):
