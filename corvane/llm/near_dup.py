@@ -262,8 +262,9 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
     if wide.isEmpty():
         return edges
     total = m.count()
-    edges = cut(edges)
     parts = cut(connected_components(edges))
+    # the stars found so far say the same as the edges, which are many times as many
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     main = wide.join(parts, F.col("leader") == F.col("node"), "left").select("grp", "rows", F.coalesce("component", "leader").alias("main"))
     late = attach(m.filter("blocks > 1").select("grp", "id", "n"), main, "grp", total, "rows")
     late = cut(late.join(parts, F.col("id") == F.col("node"), "left").select("grp", "id", "n", (F.coalesce("component", "id") != F.col("main")).alias("rest")))
