@@ -40,6 +40,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = cut(e)
     before = _state(e)
+    if not before[0]:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         e = cut(_small_star(_large_star(e, before[0]), before[0]))
         now = _state(e)

@@ -248,7 +248,7 @@ def _compare(tasks: DataFrame, p: NearDup, exact: bool) -> DataFrame:
 
 
 def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool, bands: DataFrame | None = None) -> DataFrame:
-    """Edges that connect whatever is similar within a group.
+    """(node, component) of whatever is connected by similarity within the groups; members that are like no other are absent.
 
     members: (grp, id), payloads: (id, n, payload), bands: (id, band). A group weighs as many rows, or shingles if `exact`, and is
     dealt out in blocks of bounded weight, its leader (smallest id) going to each block. Groups of one block
@@ -258,13 +258,11 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
     weight = F.col("n") if exact else F.lit(1)
     m = cut(members.join(payloads.select("id", "n"), "id"))
     edges, groups, m = _in_blocks(m, payloads, p, exact)
+    parts = cut(connected_components(edges))
     wide = groups.filter("blocks > 1")
     if wide.isEmpty():
-        return edges
+        return parts
     total = m.count()
-    parts = cut(connected_components(edges))
-    # the stars found so far say the same as the edges, which are many times as many
-    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     main = wide.join(parts, F.col("leader") == F.col("node"), "left").select("grp", "rows", F.coalesce("component", "leader").alias("main"))
     late = attach(m.filter("blocks > 1").select("grp", "id", "n"), main, "grp", total, "rows")
     late = cut(late.join(parts, F.col("id") == F.col("node"), "left").select("grp", "id", "n", (F.coalesce("component", "id") != F.col("main")).alias("rest")))
@@ -272,13 +270,28 @@ def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool
     if bands is not None:
         # groups of more pairs of blocks than a document has bands
         spread = F.col("blocks").cast("long") * F.col("odd_blocks") > p.bands
-        apart = late.filter(spread).join(bands, "id").select(F.xxhash64("grp", "band").alias("grp"), "id", "n", "rest")
-        late = late.filter(~spread).unionByName(_placed(cut(apart), p, exact))
+        apart = late.filter(spread)
+        if not apart.isEmpty():
+            apart = apart.join(bands, "id").select(F.xxhash64("grp", "band").alias("grp"), "id", "n", "rest")
+            late = late.filter(~spread).unionByName(_placed(cut(apart), p, exact))
     # a task is (block of the rest, block of the group); members of the main part need not meet one another
     to_all = late.filter("rest").select("grp", "id", F.pmod(F.xxhash64("id"), F.col("odd_blocks")).cast("int").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t3"))
     from_all = late.select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("t2"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("t3"))
     second = to_all.unionByName(from_all).distinct().withColumnRenamed("grp", "t1")
-    return edges.unionByName(_compare(second.join(payloads, "id"), p, exact))
+    return _joined(parts, _compare(second.join(payloads, "id"), p, exact))
+
+
+def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after more edges (a, b): only edges between different components count, as edges of components."""
+    ends = edges.distinct()
+    for end in ("a", "b"):
+        of = parts.select(F.col("node").alias(end), F.col("component").alias("of"))
+        ends = ends.join(of, end, "left").withColumn(f"of_{end}", F.coalesce("of", end)).drop("of")
+    ends = cut(ends)
+    between = cut(connected_components(ends.filter("of_a <> of_b").select("of_a", "of_b"), "of_a", "of_b"))
+    nodes = parts.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("component")))).alias("x")).select("x.*")).distinct()
+    new = between.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return nodes.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def _placed(late: DataFrame, p: NearDup, exact: bool) -> DataFrame:
@@ -326,11 +339,11 @@ def _verdicts(docs: DataFrame, p: NearDup, id_col: str, text_col: str) -> DataFr
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     own = full.join(classes.select("fp1", "fp2", "n", "rep", "node"), ["fp1", "fp2", "n"]).filter("id = rep").dropDuplicates(["node"])
     own = cut(own.select(F.col("node").alias("id"), "n", "bands", F.col("sketch").alias("payload"), "rep", "text_key"))
-    candidates = connected_components(link_within(_buckets(own), own.select("id", "n", "payload"), p, exact=False))
+    candidates = link_within(_buckets(own), own.select("id", "n", "payload"), p, exact=False)
     candidates = cut(candidates.withColumnsRenamed({"node": "id", "component": "grp"}))
     of_candidates = own.select("id", "n", "bands", "rep", "text_key").join(candidates.select("id"), "id", "left_semi")
     sets = cut(_full_sets(docs, of_candidates.select("id", "rep", "text_key"), p, id_col, text_col))
-    linked = connected_components(link_within(candidates, sets, p, exact=True, bands=of_candidates.select("id", F.explode("bands").alias("band"))))
+    linked = link_within(candidates, sets, p, exact=True, bands=of_candidates.select("id", F.explode("bands").alias("band")))
     linked = cut(linked.join(classes.select("node", "rep"), "node"))
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     names = attach(linked.select("component", "node"), least, "component", linked.count()).select("node", "component_id")
