@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: blank and \t \n \v \f \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of a row group in tables that cut a lineage; a task holds one in memory.
+ROW_GROUP = 16 << 20
 
 
 # ---------------------------------------------------------------- Spark helpers
@@ -57,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     grows into numbers of millions of digits. A table's size is known.
     """
     path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -209,11 +209,13 @@ def judged(d: DataFrame, chosen: DataFrame, p: Quality = Quality(), out: str = "
 def passing(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the base rules and the cutoffs from `labels` keep.
 
-    The documents are stored once with their features, which cost more than to write and read them.
+    The cutoffs come from features that are stored without the texts. For the verdict they are computed once more: that costs less memory than to store and
+    read the texts with them, and no disk.
     """
     out = free_name(docs, "quality")
-    featured = cut(with_features(docs, out, text_col))
-    kept = judged(featured, cutoffs_of(featured, labels, p, id_col, out), p, out).filter(F.col(out)["kept"])
+    stratum = [p.stratum] if p.stratum in docs.columns else []
+    featured = cut(with_features(docs.select(id_col, *stratum, text_col), "f", text_col).drop(text_col))
+    kept = judge(docs, cutoffs_of(featured, labels, p, id_col, "f"), p, text_col, out).filter(F.col(out)["kept"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
