@@ -7,19 +7,23 @@ Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words: blank and \t \n \v \f \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of a row group in tables that cut a lineage; a task holds one in memory.
 ROW_GROUP = 16 << 20
+#: Rows that a Python worker has in its temporaries at once, and bytes of their texts.
+ROWS, BYTES = 512, 1 << 18
 
 
 # ---------------------------------------------------------------- Spark helpers
@@ -63,6 +67,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A table without rows. createDataFrame() would start Python workers for it, which stay in the executors' memory for a while."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body` as a bound variable.
 
@@ -85,6 +94,32 @@ def free_name(df: DataFrame, wanted: str) -> str:
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Give memory that is free back to the system. A worker outlives its task, and what it keeps counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Batches]) -> Callable[[Iterable[pa.RecordBatch]], Batches]:
+    """`run` for mapInArrow, fed with ROWS rows at once whatever a batch holds; after each batch and at the end, free memory is given back."""
+
+    def fed(batches: Iterable[pa.RecordBatch]) -> Batches:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                yield whole.slice(i, ROWS)
+            release()
+
+    def fed_run(batches: Iterable[pa.RecordBatch]) -> Batches:
+        yield from run(fed(batches))
+        release()
+
+    return fed_run
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +158,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(BYTES, 1 << n.bit_length())
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constants, mix, slices, span_hashes, table, utf8, word_spans
+from .common import BYTES, constants, lean, mix, slices, span_hashes, table, utf8, word_spans
 
 #: Bytes that separate words: all of ASCII but letters and digits. Other punctuation is blanked beforehand.
 SEPARATORS = np.array([not (48 <= b < 58 or 97 <= b < 123 or b >= 128) for b in range(256)])
@@ -61,7 +61,7 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         column = column.fill_null("")
     low = pc.replace_substring_regex(pc.utf8_lower(column), OTHER_PUNCTUATION, " ")
     data, starts = utf8(low)
-    for i, j in slices(starts):
+    for i, j in slices(starts, BYTES):
         part, off = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
         s, e, rows = word_spans(part, off, SEPARATORS)
         yield j - i, span_hashes(part, s, e), rows
@@ -255,7 +255,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamin
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "item_id", "score", "share", "end_word"])
 
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(lean(run), schema))
     return out
 
 
@@ -276,7 +276,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontaminatio
                     done += n
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

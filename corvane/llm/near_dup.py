@@ -28,12 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, constants, cut, free_name, mix, ngram_hashes, slices, span_hashes, table, utf8, word_spans
+from .common import BLANKS, BYTES, LOWER, constants, cut, free_name, lean, mix, ngram_hashes, slices, span_hashes, table, utf8, word_spans
 from .components import attach, connected_components
 
 SKETCH_BITS = 512
-#: Rows whose samples are made into bands and sketches at once, some ten kilobytes each.
-SIGNED = 512
 
 
 @dataclass(frozen=True)
@@ -76,7 +74,7 @@ class NearDup:
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     """The sorted shingle hashes of each text."""
     data, starts = utf8(column)
-    for i, j in slices(starts):
+    for i, j in slices(starts, BYTES):
         off = starts[i : j + 1] - starts[i]
         part = LOWER[data[starts[i] : starts[j]]]
         s, e, rows = word_spans(part, off, BLANKS)
@@ -112,7 +110,7 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
         b = (constants(k, 2) >> np.uint64(32)).astype(np.uint32)
         lanes = np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         weights, salt = constants(p.rows, 3), np.arange(p.bands, dtype=np.uint64)
-        for batch in (whole.slice(i, SIGNED) for whole in batches for i in range(0, whole.num_rows, SIGNED)):
+        for batch in batches:  # samples, bands and sketches take some ten kilobytes a row
             n, f1, f2 = [], [], []
             least = np.zeros((batch.num_rows, k), np.uint32)
             for r, u in enumerate(_sets(batch.column(2), p.shingle)):
@@ -139,7 +137,7 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
                 names=["id", "text_key", "n", "fp1", "fp2", "bands", "sketch"],
             )
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, n long, fp1 long, fp2 long, bands array<long>, sketch binary")
+    return _rows(docs, id_col, text_col).mapInArrow(lean(run), "id long, text_key long, n long, fp1 long, fp2 long, bands array<long>, sketch binary")
 
 
 def _text_key(text_col: str) -> Column:
@@ -244,7 +242,7 @@ def _compare(tasks: DataFrame, p: NearDup, exact: bool) -> DataFrame:
 
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.select("t1", "t2", "t3", "id", "n", "payload").repartition(parts, "t1", "t2", "t3").sortWithinPartitions("t1", "t2", "t3", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def link_within(members: DataFrame, payloads: DataFrame, p: NearDup, exact: bool, bands: DataFrame | None = None) -> DataFrame:
@@ -394,7 +392,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDup, id_col: str, text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "payload"])
 
     rows = _rows(docs, id_col, text_col).withColumnRenamed("id", "rep")
-    return rows.join(wanted, ["rep", "text_key"]).select("id", "text").mapInArrow(run, "id long, n long, payload binary")
+    return rows.join(wanted, ["rep", "text_key"]).select("id", "text").mapInArrow(lean(run), "id long, n long, payload binary")
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

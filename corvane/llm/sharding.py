@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, free_name, shared_path, table
+from .common import cut, empty, free_name, shared_path, table
 
 MANIFEST = "file string, bytes long, rows long"
 #: Rows of a table that are numbered in one task.
@@ -131,7 +131,7 @@ class ShardStore:
         """The shards of a version: (file, bytes, rows)."""
         info = self.commit_info(version)
         if info["manifest"] is None:
-            return self.spark.createDataFrame([], MANIFEST)
+            return empty(self.spark, T.StructType.fromDDL(MANIFEST))
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/{info['manifest']}")
 
     def _files(self, run: str, schema: T.StructType) -> DataFrame:
@@ -150,11 +150,11 @@ class ShardStore:
         if info["schema"] is None:
             raise ValueError("the store is empty")
         schema = T.StructType.fromJson(info["schema"])
-        name = free_name(self.spark.createDataFrame([], schema), file_col)
+        name = free_name(empty(self.spark, schema), file_col)
         listed = self.manifest(version)
         runs = [r.run for r in listed.select(F.substr("file", F.lit(1), F.lit(32)).alias("run")).distinct().collect()]
         if not runs:
-            return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("string"))
+            return empty(self.spark, schema).withColumn(name, F.lit(None).cast("string"))
         rows = self._below(sorted(runs), schema)
         there = len(rows._jdf.inputFiles())  # counted in the JVM, where the reader lists the files anyway
         rows = rows.select("*", _below_data(F.col("_metadata.file_path")).alias(name))
@@ -295,8 +295,8 @@ class ShardStore:
                     continue
 
     def _write_merged(self, plan: DataFrame, runs: int, schema: T.StructType, out: str) -> None:
-        empty = self.spark.createDataFrame([], schema)
-        key, file = free_name(empty, "merge_run"), free_name(empty, "merge_file")
+        none = empty(self.spark, schema)
+        key, file = free_name(none, "merge_run"), free_name(none, "merge_file")
         names = [r.file for r in plan.select("file").collect()]  # of one wave
         placed = plan.join(_placement(self.spark, runs), "slot").select(F.col("file").alias(file), F.col("place").alias(key))
         if len(names) <= 4 * self.tiering.wave_files:  # some hundred bytes each; a tier of very small shards may make larger waves
