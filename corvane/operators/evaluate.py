@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 KS = (1, 3, 5, 10)
 #: Queries that are searched in one pass over the corpus; their vectors are sent to the workers.
 BLOCK = 2000
+#: Rows of the corpus, and scores, that a worker has in its temporaries at once.
+ROWS, SCORES = 2048, 1 << 18
 _DIGITS = 9
 
 
@@ -47,12 +49,36 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return best, found
 
 
+def _search(batches: Iterable[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, k: int, metrics: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(metric, query_id, vec_id, score): the k best of the batches for each query, in tiles of at most SCORES scores, however many queries are sent
+    and however many rows tie."""
+    best = {m: (np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)) for m in metrics}
+    tile = max(1, SCORES // ROWS)
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            own = batch.column(0).to_numpy()
+            matrix = _matrix(batch.column(1))
+            for first in range(0, len(ids), tile):
+                some = slice(first, first + tile)
+                itself = ids[some, None] == own[None, :]
+                for m, (score, found) in best.items():
+                    new = _scores(vectors[some], matrix, m)
+                    new[itself] = -np.inf
+                    score[some], found[some] = _best(np.hstack((score[some], new)), np.hstack((found[some], np.broadcast_to(own, new.shape))), k)
+    for m, (score, found) in best.items():
+        keep = np.isfinite(score).ravel()
+        n = int(keep.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.string()), pa.array(np.repeat(ids, k)[keep]), pa.array(found.ravel()[keep]), pa.array(score.ravel()[keep])], names=["metric", "query_id", "vec_id", "score"])
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str | tuple[str, ...] = "dot", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, rank): the k nearest rows of the corpus for each query, itself excepted; ties go to the smaller id.
 
     Exact. Queries are taken in blocks of bounded size, each of which is held against every row of the corpus in one pass
-    without a shuffle; every task leaves k candidates a query, and only those are ranked. Null vectors don't take part. With several
-    metrics, all are scored in the same pass and a column `metric` names them.
+    without a shuffle; every task leaves k candidates a query, and only those are ranked. A worker holds one block,
+    its candidates and a tile of scores, however many rows there are. Null vectors don't take part. With several metrics, all are scored
+    in the same pass and a column `metric` names them.
     """
     spark = corpus.sparkSession
     metrics = (metric,) if isinstance(metric, str) else tuple(metric)
@@ -68,22 +94,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str | tupl
         sent = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vectors = sent.value
-            best = {m: (np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)) for m in metrics}
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    own = batch.column(0).to_numpy()
-                    matrix = _matrix(batch.column(1))
-                    itself = ids[:, None] == own[None, :]
-                    for m, (score, found) in best.items():
-                        new = _scores(vectors, matrix, m)
-                        new[itself] = -np.inf
-                        best[m] = _best(np.hstack((score, new)), np.hstack((found, np.broadcast_to(own, new.shape))), k)
-            for m, (score, found) in best.items():
-                keep = np.isfinite(score).ravel()
-                n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.string()), pa.array(np.repeat(ids, score.shape[1])[keep]), pa.array(found.ravel()[keep]), pa.array(score.ravel()[keep])], names=["metric", "query_id", "vec_id", "score"])
+            return _search(batches, *sent.value, k, metrics)
 
         out = out.unionByName(c.mapInArrow(run, schema))
     w = Window.partitionBy("metric", "query_id").orderBy(F.col("score").desc(), "vec_id")
