@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KS = (1, 3, 5, 10)
 #: Queries that are searched in one pass over the corpus; their vectors are sent to the workers.
@@ -85,7 +87,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str | tupl
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     schema = "metric string, query_id long, vec_id long, score double"
-    out = spark.createDataFrame([], schema)
+    passes = []
     blocks = -(-q.count() // BLOCK)
     for b in range(blocks):
         rows = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
@@ -96,7 +98,10 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str | tupl
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             return _search(batches, *sent.value, k, metrics)
 
-        out = out.unionByName(c.mapInArrow(run, schema))
+        passes.append(c.mapInArrow(run, schema))
+    if not passes:  # createDataFrame() would start Python workers of another kind for no rows, which stay for a while
+        passes = [spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields])]
+    out = reduce(DataFrame.unionByName, passes)
     w = Window.partitionBy("metric", "query_id").orderBy(F.col("score").desc(), "vec_id")
     named = [] if isinstance(metric, str) else ["metric"]
     return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(*named, "query_id", "vec_id", "rank")

@@ -50,3 +50,13 @@ def test_tiles_leave_the_results_as_they_are(spark, monkeypatch):
         for m, score in (("dot", vectors @ vectors[q]), ("l2", -((vectors - vectors[q]) ** 2).sum(axis=1))):
             order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:5]
             assert [found[m][q, r] for r in range(1, 6)] == order
+
+
+def test_only_the_search_starts_workers(spark):
+    """Whether there are queries or not, no plan has an RDD of Python rows."""
+    rows = spark.range(3).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    none, some = evaluate.top_k(rows, rows.limit(0)), evaluate.top_k(rows, rows)
+    assert none.dtypes == some.dtypes == [("query_id", "bigint"), ("vec_id", "bigint"), ("rank", "bigint")]
+    assert none.count() == 0 and some.count() == 6
+    for df in (none, some):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
